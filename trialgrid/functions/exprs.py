@@ -18,8 +18,8 @@ def col(c: Column | str) -> Column:
 
 
 def r6(c: Column) -> Column:
-    """Round half up to six digits with plain IEEE arithmetic (never yields -0.0)."""
-    return F.floor(c * 1e6 + 0.5) / F.lit(1e6)
+    """Six digits with plain IEEE arithmetic; decimal ties and their float neighbours go up, never -0.0."""
+    return F.floor(c * 1e6 + 0.501) / F.lit(1e6)
 
 
 def hash_uniform(*parts: Column | str) -> Column:

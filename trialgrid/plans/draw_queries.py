@@ -129,7 +129,7 @@ RAW_SQL = with_(DRAWS) + f"""SELECT round_no, list_transform(list_concat(
  [numbers[1]/45.0::DOUBLE, numbers[6]/45.0::DOUBLE, (numbers[6]-numbers[1])/44.0::DOUBLE, m*6/270.0::DOUBLE, m/45.0::DOUBLE, (numbers[3]+numbers[4])/90.0::DOUBLE, vr/1936.0::DOUBLE, sqrt(vr)/44.0::DOUBLE],
  list_transform(list_sort(g), lambda v: v/44.0::DOUBLE),
  [-list_sum(list_transform(g, lambda v: v/gs*ln(v/gs+1e-12::DOUBLE)))/ln(5), (list_position(g, list_max(g))-1)/4.0::DOUBLE, (list_position(g, list_min(g))-1)/4.0::DOUBLE]),
- lambda v: floor(v*1e6+0.5)/1e6) AS raw FROM (SELECT *, {_VAR6} AS vr, list_sum(g)::DOUBLE AS gs FROM (SELECT round_no, numbers, list_sum(numbers)/6.0::DOUBLE AS m, {_G} AS g FROM draws))"""
+ lambda v: floor(v*1e6+0.501)/1e6) AS raw FROM (SELECT *, {_VAR6} AS vr, list_sum(g)::DOUBLE AS gs FROM (SELECT round_no, numbers, list_sum(numbers)/6.0::DOUBLE AS m, {_G} AS g FROM draws))"""
 
 
 @query("shape_raw", RAW_SQL)
@@ -161,7 +161,7 @@ GRID_SQL = with_(DRAWS) + f"""SELECT round_no, list_transform(list_concat([list_
  list_transform(range(0,7), lambda k: list_count(list_filter(cols, lambda c: c=k))/6.0::DOUBLE),
  [greatest({_REFL('rows[i]', '(6-cols[i])')}, {_REFL('(6-rows[i])', 'cols[i]')})/6.0::DOUBLE,
   list_count(list_filter(e, lambda v: v <= sqrt(2.0::DOUBLE)))/15.0::DOUBLE, power({_std('list_concat(rows, cols)')},2)/9.0]),
- lambda v: floor(v*1e6+0.5)/1e6) AS grid FROM (SELECT *, {_std('rows')} AS sr, {_std('cols')} AS sc, {_DIAG} AS dg, {_E} AS e, {_MH} AS mh FROM (SELECT round_no, numbers, {_RC} FROM draws))"""
+ lambda v: floor(v*1e6+0.501)/1e6) AS grid FROM (SELECT *, {_std('rows')} AS sr, {_std('cols')} AS sc, {_DIAG} AS dg, {_E} AS e, {_MH} AS mh FROM (SELECT round_no, numbers, {_RC} FROM draws))"""
 
 
 @query("shape_grid", GRID_SQL)
@@ -190,7 +190,7 @@ _AREA = "abs(list_sum(list_transform(range(1,7), lambda i: cos(a[i])*sin(a[i%6+1
 CIRCLE_SQL = with_(DRAWS) + f"""SELECT round_no, list_transform(list_concat(list_transform(a, lambda v: v/(2*pi())),
  [{_mean('ch')}/2, {_std('ch')}/2, list_min(ch)/2, list_max(ch)/2], ag, [1-sqrt(cx*cx+cy*cy), cx, cy, {_AREA}/3, list_sum(ed)/12],
  list_transform(ed, lambda v: v/2), [list_max(ag)], list_transform(a, lambda v: cos(v-a[1])), list_transform(a, lambda v: sin(v-a[1]))),
- lambda v: floor(v*1e6+0.5)/1e6) AS circle FROM (SELECT *, {_CH} AS ch, {_ED} AS ed, {_AG} AS ag, {_CX} AS cx, {_CY} AS cy FROM (SELECT round_no, {_A} AS a FROM draws))"""
+ lambda v: floor(v*1e6+0.501)/1e6) AS circle FROM (SELECT *, {_CH} AS ch, {_ED} AS ed, {_AG} AS ag, {_CX} AS cx, {_CY} AS cy FROM (SELECT round_no, {_A} AS a FROM draws))"""
 
 
 @query("shape_circle", CIRCLE_SQL)
@@ -206,7 +206,7 @@ DIST_SQL = with_(DRAWS) + f"""SELECT round_no, list_transform(list_concat([list_
  list_transform(range(0,10), lambda k: list_count(list_filter(numbers, lambda v: v%10=k))/6.0::DOUBLE),
  [list_count(list_filter(numbers, lambda v: list_contains({_PRIMES}, v)))/6.0::DOUBLE, list_count(list_filter(range(1,6), lambda i: numbers[i+1]-numbers[i]=1))/5.0::DOUBLE,
   ({_SAME})/15.0::DOUBLE, list_sum(numbers)/270.0::DOUBLE, (numbers[6]-numbers[1])/44.0::DOUBLE, 6.0::DOUBLE/greatest(numbers[6]-numbers[1]+1, 6)]),
- lambda v: floor(v*1e6+0.5)/1e6) AS distribution FROM draws"""
+ lambda v: floor(v*1e6+0.501)/1e6) AS distribution FROM draws"""
 
 
 @query("shape_distribution", DIST_SQL)
@@ -235,7 +235,7 @@ TRANS_SQL = with_(ODRAWS) + f"""SELECT round_no, list_transform(CASE WHEN p IS N
  ({_mx('numbers', _RW)}-{_mx('p', _RW)})/6.0, ({_mx('numbers', _CL)}-{_mx('p', _CL)})/6.0, ({_mx('numbers', _CO)}-{_mx('p', _CO)})/2.0, ({_mx('numbers', _SI)}-{_mx('p', _SI)})/2.0,
  (list_sum(numbers)-list_sum(p))/264.0::DOUBLE, ((numbers[6]-numbers[1])-(p[6]-p[1]))/44.0::DOUBLE, ({_STD('numbers')}-{_STD('p')})/44.0,
  sqrt(list_sum(list_transform(range(1,6), lambda i: power((numbers[i+1]-numbers[i])-(p[i+1]-p[i]),2))))/(44.0*sqrt(5.0))],
- [{', '.join(_chg('p'))}], CASE WHEN q IS NULL THEN [0.0::DOUBLE,0.0,0.0] ELSE [{', '.join(_chg('q'))}] END) END, lambda v: floor(v*1e6+0.5)/1e6) AS transition
+ [{', '.join(_chg('p'))}], CASE WHEN q IS NULL THEN [0.0::DOUBLE,0.0,0.0] ELSE [{', '.join(_chg('q'))}] END) END, lambda v: floor(v*1e6+0.501)/1e6) AS transition
  FROM (SELECT *, lag(numbers,1) OVER w AS p, lag(numbers,2) OVER w AS q, lag(mask,1) OVER w AS pm, lag(mask,2) OVER w AS qm FROM odraws WINDOW w AS (PARTITION BY series_id ORDER BY idx))"""
 
 
@@ -263,8 +263,8 @@ def _ctx_sql(w):
    FROM rows{w} r JOIN cell{w} USING (series_id, idx) JOIN pairc{w} USING (series_id, idx) GROUP BY 1,2)"""
 
 
-@query("rolling_context", with_(ODRAWS, _ctx_sql(3), _ctx_sql(13)) + """SELECT round_no, list_transform(a.f, lambda v: floor(v*1e6+0.5)/1e6) AS w3,
- list_transform(b.f, lambda v: floor(v*1e6+0.5)/1e6) AS w13 FROM odraws JOIN out3 a USING (series_id, idx) JOIN out13 b USING (series_id, idx)""")
+@query("rolling_context", with_(ODRAWS, _ctx_sql(3), _ctx_sql(13)) + """SELECT round_no, list_transform(a.f, lambda v: floor(v*1e6+0.501)/1e6) AS w3,
+ list_transform(b.f, lambda v: floor(v*1e6+0.501)/1e6) AS w13 FROM odraws JOIN out3 a USING (series_id, idx) JOIN out13 b USING (series_id, idx)""")
 def rolling_context(spark, sf):
     """34 rolling features over the last 3 and the last 13 draws."""
     d = FE.context_views(ordered_draws(spark, sf), ["series_id"], "idx", (3, 13))

@@ -180,7 +180,7 @@ def survival_labels(spark, sf):
     return P.survival_labels(folded_runs(spark, sf)).select("run_id", "event", "duration", r6(F.col("duration_fraction")).alias("duration_fraction"))
 
 
-@query("reach_probabilities", with_(SURV) + "SELECT problem_family, fold, list_transform(reach, lambda v: floor(v*1e6+0.5)/1e6) AS reach FROM reach")
+@query("reach_probabilities", with_(SURV) + "SELECT problem_family, fold, list_transform(reach, lambda v: floor(v*1e6+0.501)/1e6) AS reach FROM reach")
 def reach_probabilities(spark, sf):
     """Out-of-fold monotone reach probability at each horizon."""
     lab = P.survival_labels(folded_runs(spark, sf))
@@ -295,7 +295,7 @@ lv0 AS (SELECT f.fold, count(*) AS n, quantile_cont(pit, {LEVELS}) AS e FROM dis
 lv AS MATERIALIZED (SELECT fold, n, list_transform(range(1,8), lambda i: list_max(list_transform(range(1,i+1), lambda j: (n*e[j]+200*({LEVELS})[j])/(n+200)))) AS levels FROM lv0)"""
 
 
-@query("recalibration_levels", with_(RECAL) + "SELECT fold, n, list_transform(levels, lambda v: floor(v*1e6+0.5)/1e6) AS levels FROM lv")
+@query("recalibration_levels", with_(RECAL) + "SELECT fold, n, list_transform(levels, lambda v: floor(v*1e6+0.501)/1e6) AS levels FROM lv")
 def recalibration_levels(spark, sf):
     """Shrunk PIT quantiles of the other folds."""
     l = P.recalibration_levels(quality_rows(spark, sf), "fold", FOLDS)
@@ -303,7 +303,7 @@ def recalibration_levels(spark, sf):
 
 
 @query("recalibrated_quantiles", with_(RECAL) + f"""SELECT run_id, list_transform(levels, lambda l: floor((s[greatest(1,least(8,len(list_filter(p, lambda v: v<=l))))] + (l-p[greatest(1,least(8,len(list_filter(p, lambda v: v<=l))))])/(p[greatest(1,least(8,len(list_filter(p, lambda v: v<=l))))+1]-p[greatest(1,least(8,len(list_filter(p, lambda v: v<=l))))])
- *(s[greatest(1,least(8,len(list_filter(p, lambda v: v<=l))))+1]-s[greatest(1,least(8,len(list_filter(p, lambda v: v<=l))))]))*1e6+0.5)/1e6) AS q FROM (SELECT run_id, levels, list_concat([0.0::DOUBLE], q, [1.0::DOUBLE]) AS s, {[0.0, *_L, 1.0]}::DOUBLE[] AS p FROM dist JOIN lv USING (fold))""")
+ *(s[greatest(1,least(8,len(list_filter(p, lambda v: v<=l))))+1]-s[greatest(1,least(8,len(list_filter(p, lambda v: v<=l))))]))*1e6+0.501)/1e6) AS q FROM (SELECT run_id, levels, list_concat([0.0::DOUBLE], q, [1.0::DOUBLE]) AS s, {[0.0, *_L, 1.0]}::DOUBLE[] AS p FROM dist JOIN lv USING (fold))""")
 def recalibrated_quantiles(spark, sf):
     """Quantile curve re-read at the adjusted levels."""
     d = quality_rows(spark, sf)

@@ -84,7 +84,7 @@ def block_profile(spark, sf):
 
 
 @query("walk_forward_baselines", with_(SERIES, """wf AS MATERIALIZED (SELECT key, idx, value AS y, lag(value) OVER w AS x1, lag(value,2) OVER w AS x2, lag(value,3) OVER w AS x3 FROM series WINDOW w AS (PARTITION BY key ORDER BY idx))""",
-       """kn AS (SELECT key, idx, avg(by) AS k FROM (SELECT a.key, a.idx, b.y AS by, row_number() OVER (PARTITION BY a.key, a.idx ORDER BY round(sqrt(power(a.x1-b.x1,2)+power(a.x2-b.x2,2)+power(a.x3-b.x3,2)),12), b.idx) AS rn FROM wf a JOIN wf b ON a.key=b.key AND b.idx>=3 AND b.idx<a.idx AND a.idx>=32) WHERE rn<=5 GROUP BY 1,2)""")
+       """kn AS (SELECT key, idx, avg(b_y) AS k FROM (SELECT a.key, a.idx, b.y AS b_y, row_number() OVER (PARTITION BY a.key, a.idx ORDER BY round(sqrt(power(a.x1-b.x1,2)+power(a.x2-b.x2,2)+power(a.x3-b.x3,2)),12), b.idx) AS rn FROM wf a JOIN wf b ON a.key=b.key AND b.idx>=3 AND b.idx<a.idx AND a.idx>=32) WHERE rn<=5 GROUP BY 1,2)""")
        + f"SELECT a.key, {R('avg(abs(y-m))')} AS mean, {R('avg(abs(y-x1))')} AS persistence, {R('avg(abs(y-k))')} AS knn5 FROM (SELECT *, avg(y) OVER (PARTITION BY key ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM wf WHERE idx>=3) a JOIN kn ON kn.key=a.key AND kn.idx=a.idx WHERE a.idx>=32 GROUP BY 1")
 def walk_forward_baselines(spark, sf):
     """Expanding mean, persistence and nearest-neighbour errors (the ridge column is a separate query)."""

@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def R(expr: str) -> str:
     """SQL counterpart of exprs.r6."""
-    return f"(floor(({expr})*1e6+0.5)/1e6)"
+    return f"(floor(({expr})*1e6+0.501)/1e6)"
 
 
 def U(*parts: str) -> str:

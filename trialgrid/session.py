@@ -13,6 +13,8 @@ def local_session(cpus: int = 8) -> SparkSession:
         .appName("trialgrid")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        # small test data, compute-heavy stages: keep them on all cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
