@@ -27,8 +27,8 @@ def aliased_draws(spark, sf):
 
 
 def _records(spark, sf):
-    """Nested run records: one per user, as JSON text."""
-    t = traces(spark, sf).groupBy("run_id").agg(
+    """Nested run records as JSON text, at most 1,000 trace points each (long runs give several records)."""
+    t = traces(spark, sf).groupBy("run_id", F.floor(F.col("step") / 1000).alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("step", "fraction", "objective"))).alias("traces"), F.min("objective").alias("best"), F.max("objective").alias("worst"))
     rec = F.struct(F.lit(RD.RUN_LOG_VERSION).alias("schema_version"), F.col("run_id").cast("string").alias("run_id"),
                    F.struct((F.col("run_id") % 7).alias("problem_id"), (F.col("run_id") * 31).alias("problem_seed"), F.concat(F.lit("family_"), (F.col("run_id") % 3).cast("string")).alias("problem_family")).alias("problem"),
@@ -43,7 +43,6 @@ def _parsed(spark, sf):
 @query("run_log_traces", with_(TRACES) + f"SELECT CAST(run_id AS VARCHAR) AS run_id, step, {R('fraction')} AS fraction, {R('objective')} AS objective FROM traces WHERE true")
 def run_log_traces(spark, sf):
     """Trace table of nested JSON run records."""
-    # the record aggregate is bounded: one run's trace; long runs arrive as several records
     t = RD.log_tables(_parsed(spark, sf))["traces"]
     return t.select("run_id", "step", r6(F.col("fraction")).alias("fraction"), r6(F.col("objective")).alias("objective"))
 
