@@ -26,3 +26,13 @@ def test_every_sql_belongs_to_a_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_registry_loads_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parent.parent)
+    code = f"import sys; sys.path.insert(0, {root!r}); import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], timeout=60).returncode == 0

@@ -18,21 +18,22 @@ from trialgrid.plans.registry import query
 from trialgrid.plans.run_queries import PAIRED
 from trialgrid.plans.views import DRAWS, ODRAWS, RUNS, SERIES, R, U, draws, ordered_draws, runs, series, table, with_
 
-LEFT = F.col("algorithm") == "challenger"
+def _left():
+    return F.col("algorithm") == "challenger"
 
 
 @query("cliffs_delta", with_(RUNS, "cp AS (SELECT problem_family, quality, count_if(algorithm='challenger')::DOUBLE AS l, count_if(algorithm<>'challenger')::DOUBLE AS r FROM runs GROUP BY 1,2)")
        + f"SELECT a.problem_family, sum(DISTINCT t.l)::BIGINT AS n_left, sum(DISTINCT t.r)::BIGINT AS n_right, {R('sum(a.l*b.r*sign(a.quality-b.quality))/(any_value(t.l)*any_value(t.r))')} AS cliffs_delta FROM cp a JOIN cp b USING (problem_family) JOIN (SELECT problem_family, sum(l) AS l, sum(r) AS r FROM cp GROUP BY 1) t USING (problem_family) GROUP BY 1")
 def cliffs_delta(spark, sf):
     """Cliff's delta per family by rank sums."""
-    d = RS.cliffs_delta(runs(spark, sf), ["problem_family"], "quality", LEFT)
+    d = RS.cliffs_delta(runs(spark, sf), ["problem_family"], "quality", _left())
     return d.withColumn("cliffs_delta", r6(F.col("cliffs_delta")))
 
 
 @query("cohens_d", with_(RUNS) + f"""SELECT problem_family, {R('CASE WHEN p > 1e-12 THEN d/p ELSE 0 END')} AS cohens_d FROM (SELECT problem_family, avg(CASE WHEN algorithm='challenger' THEN quality END)-avg(CASE WHEN algorithm<>'challenger' THEN quality END) AS d,
  sqrt(((count_if(algorithm='challenger')-1)*var_samp(CASE WHEN algorithm='challenger' THEN quality END)+(count_if(algorithm<>'challenger')-1)*var_samp(CASE WHEN algorithm<>'challenger' THEN quality END))/(count(*)-2)) AS p FROM runs GROUP BY 1)""")
 def cohens_d(spark, sf):
-    d = RS.cohens_d(runs(spark, sf), ["problem_family"], "quality", LEFT)
+    d = RS.cohens_d(runs(spark, sf), ["problem_family"], "quality", _left())
     return d.withColumn("cohens_d", r6(F.col("cohens_d")))
 
 
@@ -40,7 +41,7 @@ def cohens_d(spark, sf):
        "ms AS (SELECT problem_family, sum(l)::DOUBLE AS n1, count(*)-sum(l)::DOUBLE AS n2, sum(l*rk)-sum(l)*(sum(l)+1)/2.0 AS u, sum(t*t-1)::DOUBLE AS ties FROM mw GROUP BY 1)")
        + f"SELECT problem_family, {R('u')} AS u, {R('(greatest(u,n1*n2-u)-n1*n2/2-0.5)/sqrt(n1*n2/12*((n1+n2+1)-ties/((n1+n2)*(n1+n2-1))))')} AS z FROM ms")
 def mann_whitney(spark, sf):
-    m = RS.mann_whitney(runs(spark, sf), ["problem_family"], "quality", LEFT)
+    m = RS.mann_whitney(runs(spark, sf), ["problem_family"], "quality", _left())
     return m.select("problem_family", r6(F.col("u")).alias("u"), r6(F.col("z")).alias("z"))
 
 
@@ -77,7 +78,7 @@ def chi_square_types(spark, sf):
 def tail_probabilities(spark, sf):
     """p values and exact intervals: chi-square tail, normal tail of the rank test, Clopper-Pearson bounds."""
     from trialgrid.functions.kernels import beta_quantile_col, chi_square_tail, normal_cdf_col
-    m = RS.mann_whitney(runs(spark, sf), ["problem_family"], "quality", LEFT)
+    m = RS.mann_whitney(runs(spark, sf), ["problem_family"], "quality", _left())
     f = runs(spark, sf).groupBy("problem_family").agg(F.count_if("failure").cast("double").alias("k"), F.count(F.lit(1)).cast("double").alias("n"))
     j = m.select("problem_family", "z").join(f, "problem_family")
     j = j.withColumns({"neg": -F.col("z"), "stat": (F.col("k") - F.col("n") * 0.1) * (F.col("k") - F.col("n") * 0.1) / (F.col("n") * 0.09), "one": F.lit(1.0),
