@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialgrid.llm import exact_dedup
+from trialgrid.llm import exact_dedup, quality_rules, secret_scan
 from trialgrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,13 @@ def query(name: str, sql: str | None = None):
 @query("op3_exact_dedup", exact_dedup.ORACLE)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, folder, "documents")).drop("n_chunks")
+
+
+@query("op7_secret_scan", secret_scan.ORACLE)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(read(spark, folder, "documents"))[0])
+
+
+@query("op8_quality_rules", quality_rules.ORACLE)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality(read(spark, folder, "documents"))
