@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialgrid.llm import exact_dedup, quality_rules, secret_scan
+from trialgrid.llm import exact_dedup, packing, quality_rules, secret_scan, toxicity
 from trialgrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_quality_rules", quality_rules.ORACLE)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality(read(spark, folder, "documents"))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.verdicts(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(read(spark, folder, "documents"))
