@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialgrid.llm import exact_dedup, packing, quality_rules, secret_scan, toxicity
+from trialgrid.llm import exact_dedup, near_dedup, packing, quality_rules, secret_scan, toxicity
 from trialgrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents"))
+
+
+@query("op10_minhash_near_dedup", near_dedup.ORACLE)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_groups(read(spark, folder, "documents"))
