@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialgrid.llm import exact_dedup, near_dedup, packing, quality_rules, secret_scan, toxicity
+from trialgrid.llm import bloom_lm, exact_dedup, near_dedup, packing, quality_rules, secret_scan, toxicity
 from trialgrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_minhash_near_dedup", near_dedup.ORACLE)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_groups(read(spark, folder, "documents"))
+
+
+@query("op4_bloom_lm_scores")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return bloom_lm.scores(read(spark, folder, "documents"))
