@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialgrid.llm import bloom_lm, exact_dedup, near_dedup, packing, quality_rules, secret_scan, toxicity
+from trialgrid.llm import bloom_lm, exact_dedup, near_dedup, packing, page_text, quality_rules, secret_scan, toxicity
 from trialgrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_bloom_lm_scores")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return bloom_lm.scores(read(spark, folder, "documents"))
+
+
+@query("op9_page_text", page_text.ORACLE)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.extract(read(spark, folder, "pages"))
