@@ -24,8 +24,8 @@ from trialgrid.llm.common import whole_text
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
-BLOCK = 600_000  # characters that are suffix-sorted together
-WORDS_KEPT, PAIRS_KEPT = 300_000, 2_000_000
+BLOCK = 1_500_000  # characters that are suffix-sorted together
+WORDS_KEPT, PAIRS_KEPT = 500_000, 2_000_000
 DEPTH = 16  # longest piece
 
 
@@ -79,11 +79,12 @@ class Codec:
 
     def merged(self, text: str) -> list[str]:
         """The merge rule on a short text: again and again the best pair, the leftmost of equals."""
-        parts = list(text)
+        parts, score, none = list(text), self.score.get, -np.inf
         while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda i: (self.score.get(parts[i] + parts[i + 1], -np.inf), -i))
-            if parts[best] + parts[best + 1] not in self.score:
+            scores = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+            if (top := max(scores)) == none:
                 break
+            best = scores.index(top)
             parts[best:best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
@@ -146,7 +147,8 @@ class Codec:
         edge_at = np.concatenate([at, alone])
         edge_len = np.concatenate([self.lengths[row], np.ones(len(alone), np.int64)])
         edge_id = np.concatenate([self.ids[row], np.full(len(alone), -1)])
-        order = np.lexsort((edge_at, offset[edge_at]))
+        depth = offset[edge_at]
+        order = np.argsort(depth.astype(np.uint16) if depth.max(initial=0) < 65536 else depth, kind="stable")
         edge_at, edge_len, edge_id = edge_at[order], edge_len[order], edge_id[order]
         cuts = np.flatnonzero(np.diff(offset[edge_at], prepend=-1))
         last = np.full(len(raw) + 1, -3, np.int64)  # piece that ends here: -3 none, -2 start of a word, -1 bytes
@@ -178,31 +180,25 @@ class Codec:
         if not chain_who:
             return
         who, pos = np.concatenate(chain_who), np.concatenate(chain_pos)
-        order = np.lexsort((pos, who))
+        order = np.argsort(pos, kind="stable")  # words lie one after another
         who, pos = who[order], pos[order]
         found = last[pos].astype(np.int32)
         edges = np.searchsorted(who, np.arange(len(units) + 1))
-        odd = set(who[found < 0].tolist())
-        flat = found.tobytes()
-        for k, unit in enumerate(units):
-            a, b = edges[k], edges[k + 1]
-            if k in odd:
-                ids: list[int] = []
-                for i in range(a, b):
-                    ids += [int(found[i])] if found[i] >= 0 else [self.bytes_at[x] for x in unit[pos[i] - 1 - starts[k]].encode()]
-                self.known[unit] = np.array(ids, np.int32).tobytes()
-            else:
-                self.known[unit] = flat[4 * a:4 * b]
+        flat, cuts = found.tobytes(), (4 * edges).tolist()
+        self.known.update(zip(units, [flat[a:b] for a, b in zip(cuts, cuts[1:])]))
+        for k in np.unique(who[found < 0]).tolist():  # words with characters that have no piece
+            ids: list[int] = []
+            for i in range(edges[k], edges[k + 1]):
+                ids += [int(found[i])] if found[i] >= 0 else [self.bytes_at[x] for x in units[k][pos[i] - 1 - starts[k]].encode()]
+            self.known[units[k]] = np.array(ids, np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids (signed 32 bits each) of each text."""
         cut = [UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        unseen = list({u for units in cut for u in units if u not in self.known})
-        if "\n" in unseen:
-            unseen.remove("\n")
         self.known["\n"] = np.array([self.bytes_at[10]], np.int32).tobytes()
+        unseen = sorted(set().union(*cut).difference(self.known))
         block, size = [], 0
         for u in unseen:
             block.append(u)
@@ -253,3 +249,18 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
 
     schema = encoded.schema.add("decoded", "string") if "decoded" not in names else encoded.schema
     return encoded.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_ids, ids, and whether decoding gives the text back, where a space mark in a text reads as a space."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, use = batch.column(1).to_pylist(), codec(model)
+            found = use.encode(texts)
+            sizes = np.array([len(f) // 4 for f in found], np.int64)
+            same = [use.decode(np.frombuffer(f, np.int32).tolist()) == t.replace(SPACE, " ") for f, t in zip(found, texts)]
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids, pa.array(same)], names=["doc_id", "n_ids", "ids", "round_trip"])
+
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(
+        run, "doc_id bigint, n_ids bigint, ids array<int>, round_trip boolean")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialgrid.llm import bloom_lm, exact_dedup, near_dedup, packing, page_text, quality_rules, secret_scan, toxicity
+from trialgrid.llm import bloom_lm, exact_dedup, near_dedup, packing, page_text, piece_codec, quality_rules, secret_scan, suffix_dedup, toxicity
 from trialgrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,15 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_page_text", page_text.ORACLE)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return page_text.extract(read(spark, folder, "pages"))
+
+
+@query("op1_suffix_array_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.covered(read(spark, folder, "documents")).drop("spans")
+
+
+@query("op5_sentencepiece_codec")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back (the space mark itself reads as a space)."""
+    docs = read(spark, folder, "documents")
+    return piece_codec.round_trip(docs)
