@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from trialgrid.llm.common import whole_text
 
@@ -247,8 +248,7 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
             texts = [codec(model).decode(x or []) for x in batch.column(names.index("ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
-    schema = encoded.schema.add("decoded", "string") if "decoded" not in names else encoded.schema
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -149,6 +149,7 @@ class Model:
     weights: dict[str, float]
     trees: object = None
     calibration: object = None
+    trust: float = 1.0  # with few toxic labels scores are drawn towards the base rate
 
 
 def raw_scores(model, rows: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, trees: i
     held = raw_scores(model, data.where("part = 0") if has_both else data)
     calibration = IsotonicRegression(featuresCol="raw", labelCol="label").fit(held)
     data.unpersist()
-    return Model(toxic / n, weights[2], model, calibration)
+    return Model(toxic / n, weights[2], model, calibration, toxic / (toxic + 10))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,7 +195,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     calibrated = model.calibration.transform(raw.drop("features"))
     # the calibrated value has steps; a little of the raw one keeps the order inside a step
     value = 0.98 * F.col("prediction") + 0.02 * F.col("raw")
-    return calibrated.select("doc_id", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).alias("score"))
+    value = F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
+    return calibrated.select("doc_id", (model.trust * value + (1 - model.trust) * model.prior).alias("score"))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
