@@ -54,6 +54,15 @@ def tokens(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most `most` words each (or one text): working arrays stay small whatever the batch."""
+    at, start = batch.column(column).offsets.to_numpy(), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(at, at[start] + most, side="right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def pairs(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Context of each token, and the hash of the pair."""
     before = np.empty_like(ids)
@@ -122,7 +131,7 @@ def gathered(texts: DataFrame, log_shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, 0)):
             ids, starts = tokens(batch.column(0))
             held.append((mixed(ids ^ WORD_KEY), pairs(ids, starts)[1]))
             size += len(ids)
@@ -214,7 +223,7 @@ def scored(docs: DataFrame, model: Model, kappa: float = 2.0, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (hot, hot_n) = filter_at.value, hot_at.value
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, 2)):
             ids, starts = tokens(batch.column(2))
             before, pair = pairs(ids, starts)
             word, back = np.unique(ids, return_inverse=True)

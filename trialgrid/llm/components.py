@@ -24,15 +24,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every vertex is a root or hangs from one root."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("up")))
+    seen = ends.groupBy("v").agg(F.sum("up").alias("ups"), F.min("up").alias("is_root"))
+    return seen.where("ups > 1 OR (ups = 1 AND is_root = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) of every vertex with an edge; comp is the component's smallest vertex. `edges` has long columns a and b."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    while True:
+    while not _stars_only(edges):
         edges = written(_star(_star(edges, True), False), "edges")
-        now = edges.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(roots)

@@ -148,14 +148,14 @@ def sets_linked(percent: int):
     return linked
 
 
-def full_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, members) of the given ids."""
+def full_sets(texts: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, members) of the ids in the pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], names=["id", "members"])
 
-    ids = written(ids, "candidates")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = F.broadcast(ids) if 2 * near.count() <= BROADCAST_IDS else ids
     found = texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
     # one set an id: repeated rows of an id have the same set, or count as linked anyway
     return written(found.mapInArrow(run, "id bigint, members binary"), "sets")
@@ -165,7 +165,7 @@ def confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int,
     """The pairs (a, b) whose full sets are linked."""
     left, right = (sigs.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     near = written(pairs.distinct().join(left, "a").join(right, "b").where(signatures_near(scheme)("sig_a", "sig_b")).select("a", "b").distinct(), "near")
-    sets = full_sets(texts, near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
+    sets = full_sets(texts, near)
     left, right = (sets.select(F.col("id").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
     return written(near.join(left, "a").join(right, "b").where(sets_linked(percent)("set_a", "set_b")).select("a", "b").distinct(), "links")
 
@@ -228,9 +228,10 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     members = written(keys.join(shared, "key").distinct(), "members")
     stars = members.select(F.col("lo").alias("a"), F.col("id").alias("b")).unionByName(members.select(F.col("id").alias("a"), F.col("hi").alias("b"))).where("a < b")
     links = confirmed(stars, sigs, texts, percent, scheme)
-    more = unresolved(members, components(links), sigs, scheme)
-    links = links.unionByName(confirmed(more, sigs, texts, percent, scheme))
     comps = components(links)
+    more = confirmed(unresolved(members, comps, sigs, scheme), sigs, texts, percent, scheme)
+    if not more.isEmpty():
+        comps = components(links.unionByName(more))
     found = same.join(comps, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("comp", "id").alias("comp"))
     out = rows.join(written(found, "found"), ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("comp", "doc_id"))
