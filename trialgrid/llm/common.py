@@ -45,5 +45,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder: a lost executor costs a read, not a rerun."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
