@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -26,7 +27,7 @@ from trialgrid.llm.common import whole_text
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 BLOCK = 1_500_000  # characters that are suffix-sorted together
-WORDS_KEPT, PAIRS_KEPT = 500_000, 2_000_000
+WORDS_KEPT, PAIRS_KEPT = 300_000, 700_000
 DEPTH = 16  # longest piece
 
 
@@ -227,10 +228,22 @@ def codec(model: str) -> Codec:
     return _codecs[model]
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with at most `most` bytes of text each, or one text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_ids and ids of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             found = codec(model).encode(batch.column(1).to_pylist())
             sizes = np.array([len(f) // 4 for f in found], np.int64)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
@@ -254,7 +267,7 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
 def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_ids, ids, and whether decoding gives the text back, where a space mark in a text reads as a space."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             texts, use = batch.column(1).to_pylist(), codec(model)
             found = use.encode(texts)
             sizes = np.array([len(f) // 4 for f in found], np.int64)
