@@ -49,9 +49,13 @@ def test_stream_takes_each_run_once_across_restarts(spark, tmp_path):
     go = lambda: runlog.ingest(spark.readStream.schema("run_id int, ts timestamp").parquet(src), "run_id", "ts", out, state)
     write([(1, "2024-01-01"), (1, "2024-01-02"), (2, "2024-01-01")])
     go()
-    write([(2, "2024-01-03"), (3, "2024-01-03")])
+    # a repeated old id, a new id with an old time, an id seen long ago
+    write([(2, "2024-01-03"), (3, "2023-01-03"), (1, "2026-01-01")])
     go()
-    assert sorted(r["run_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+    write([(5, "2020-01-01"), (1, "2030-01-01")])
+    go()
+    got = sorted((r["run_id"], str(r["ts"])[:10]) for r in runlog.read_log(spark, out).collect())
+    assert got == [(1, "2024-01-01"), (2, "2024-01-01"), (3, "2023-01-03"), (5, "2020-01-01")]
 
 
 def test_unknown_run_is_an_error(spark):

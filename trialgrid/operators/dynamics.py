@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from trialgrid.functions.kernels import time_warp_distance  # noqa: F401  (kernels ship with the job)
 from trialgrid.operators.landscape import nearest_earlier
-from trialgrid.operators.ordered import GROUP_LIMIT, framed, islands, largest_group, median, position, running, tile_pairs, tiles, value_ranks
+from trialgrid.operators.ordered import framed, islands, largest_group, median, position, running, tile_pairs, tiles, value_ranks
 
 STATES = 4
 STATE_WIDTH = 250_000
 
+GROUP_LIMIT = 2_000_000  # rows of a series that one Fourier transform takes
+
 
 def state_of(v: Column) -> Column:
     return F.least(F.floor(v / STATE_WIDTH), F.lit(STATES - 1))

@@ -1,21 +1,26 @@
-"""Order-based primitives that keep working when one key holds a large share of all rows.
-
-A plain ``Window.partitionBy(key)`` puts a whole key into one task.  Every primitive here first
-checks the size of the largest key.  While it is below ``limit`` the plain window is used (one
-shuffle).  Beyond it the key is split: rows are cut into blocks along the order column, each
-(key, block) is handled by its own task, and only one summary row per (key, block) is combined.
+"""Order-based primitives whose work can be cut along (keys, order), so that no key is bound to one task.
+
+A plain ``Window.partitionBy(key)`` puts a whole key into one task.  That is kept only where the files behind a table are
+so few bytes that the whole table would fit a task; the plan's leaves tell, no job runs for it.  For all other tables rows
+are range-partitioned: cut points are a sample of (keys, order) tuples, taken by hash and held in one row of the plan, and
+a row's block is the number of cut points up to its own tuple.  A key with a third of all rows gets a third of the
+blocks.  Each (key, block) is worked on alone, one summary row of each is combined along the key, and the summary is
+joined back.  Any orderable type can be an order column, nulls included.  Tests run both ways and compare.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialgrid.functions.exprs import bisect_right
 
-GROUP_LIMIT = 2_000_000
+BLOCKS_A_TASK = 4  # blocks for each shuffle partition; a setting of the cluster, not of the data
+FRAME = 100_000  # positions of a key that are framed together
+WHOLE_BYTES = 256 << 20  # tables read from fewer bytes may have a key in one task
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -26,46 +31,44 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return int(row[0] or 0)
 
 
-def _bounds(df: DataFrame, column: str, blocks: int) -> list[float]:
-    """Distinct approximate quantiles of the order column over the whole table.
+def fits_a_task(df: DataFrame) -> bool:
+    """Whether everything ``df`` reads is below ``WHOLE_BYTES``, from the sizes its plan's leaves know; no job runs.
 
-    A block of the whole table holds about rows/blocks rows, so no (key, block) can hold more.
+    Leaves without a size are rows that the driver has made (profiles, scenarios) and count as nothing.
     """
-    probs = [i / blocks for i in range(1, blocks)]
-    values = df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", probs, 0.2 / blocks)
-    return sorted(set(values))
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(n for n in sizes if n < 1 << 62) <= WHOLE_BYTES
+
+
+def with_blocks(df: DataFrame, by: Sequence[str], blocks: int | None = None, name: str = "_block") -> DataFrame:
+    """Add the block of each row along the tuple of ``by``; blocks ascend with the tuple."""
+    n = blocks or BLOCKS_A_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tuple_of = F.struct(*by)
+    picked = df.select(tuple_of.alias("_t")).orderBy(F.xxhash64("_t"), "_t").limit(n)
+    cuts = picked.agg(F.sort_array(F.collect_list("_t")).alias("_cuts"))  # one row of at most n tuples
+    return df.crossJoin(F.broadcast(cuts)).withColumn(name, bisect_right(F.col("_cuts"), n, tuple_of)).drop("_cuts")
 
 
-def with_blocks(df: DataFrame, keys: Sequence[str], column: str, limit: int, name: str = "_block"):
-    """Add a block id along ``column``; returns (df, blocked?)."""
-    biggest = largest_group(df, keys)
-    if biggest <= limit:
-        return df, False
-    # a block then holds about limit/2 rows of the hot key; the list of bounds is capped, bounded data
-    blocks = min(4096, max(2, -(-2 * biggest // max(1, limit))))
-    bounds = _bounds(df, column, blocks)
-    block = bisect_right(F.lit(bounds), len(bounds), F.col(column).cast("double"))
-    return df.withColumn(name, block), True
+def joined_back(rows: DataFrame, sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Summary columns for each row; null keys are keys like any other."""
+    right = sums.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(by)], *[c for c in sums.columns if c not in by])
+    on = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(right[f"_s{i}"]) for i, c in enumerate(by)])
+    return rows.join(right, on, "left").drop(*[f"_s{i}" for i in range(len(by))])
 
 
-def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos",
-             total: str | None = None, limit: int = GROUP_LIMIT) -> DataFrame:
+def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", total: str | None = None, blocks: int | None = None) -> DataFrame:
     """Dense 0-based position of each row inside its key, and optionally the key's row count."""
-    df, blocked = with_blocks(df, keys, order[0], limit)
-    if not blocked:
-        w = Window.partitionBy(*keys)
-        out = df.withColumn(name, (F.row_number().over(w.orderBy(*order)) - 1).cast("bigint"))
-        if total:
-            out = out.withColumn(total, F.count(F.lit(1)).over(w))
-        return out
     by = [*keys, "_block"]
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys)
-    sizes = sizes.withColumn("_start", F.sum("_n").over(w.orderBy("_block")) - F.col("_n")).withColumn(
-        "_total", F.sum("_n").over(w))
-    out = df.join(sizes.drop("_n"), by).withColumn(
-        name,
-        (F.col("_start") + F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("bigint"))
+    if blocks is None and fits_a_task(df):
+        out = df.withColumn(name, (F.row_number().over(w.orderBy(*order)) - 1).cast("bigint"))
+        return out.withColumn(total, F.count(F.lit(1)).over(w)) if total else out
+    df = with_blocks(df, [*keys, *order], blocks)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(*by, (F.sum("_n").over(w.orderBy("_block")) - F.col("_n")).alias("_start"), F.sum("_n").over(w).alias("_total"))
+    inside = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    out = joined_back(df, sizes, by).withColumn(name, (F.col("_start") + inside).cast("bigint"))
     if total:
         out = out.withColumn(total, F.col("_total"))
     return out.drop("_block", "_start", "_total")
@@ -75,22 +78,21 @@ _COMBINE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-            aggs: dict[str, tuple[str, Column]], limit: int = GROUP_LIMIT) -> DataFrame:
+            aggs: dict[str, tuple[str, Column]], blocks: int | None = None) -> DataFrame:
     """Inclusive prefix aggregates ``name -> (sum|count|min|max|last, column)`` in order inside each key.
 
     ``last`` ignores nulls (the as-of carry).
     """
-    df, blocked = with_blocks(df, keys, order[0], limit)
-    names = list(aggs)
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-
     def over(fn, c, win):
         if fn == "last":
             return F.last(c, ignorenulls=True).over(win)
         return {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[fn](c).over(win)
 
-    if not blocked:
+    names = list(aggs)
+    if blocks is None and fits_a_task(df):
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: over(fn, c, w) for n, (fn, c) in aggs.items()})
+    df = with_blocks(df, [*keys, *order], blocks)
     by = [*keys, "_block"]
     tagged = df.withColumns({f"_v_{n}": c for n, (_, c) in aggs.items()})
     parts = []
@@ -109,7 +111,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         carried.append(c.over(before).alias(f"_c_{n}"))
     carry = sums.select(*by, *carried)
     inner = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged.join(carry, by)
+    out = joined_back(tagged, carry, by)
     cols = {}
     for n, (fn, _) in aggs.items():
         here = over(fn, F.col(f"_v_{n}"), inner)
@@ -125,15 +127,15 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def framed(df: DataFrame, keys: Sequence[str], pos: str, before: int, after: int,
-           build: Callable[[DataFrame, list[str]], DataFrame], limit: int = GROUP_LIMIT) -> DataFrame:
+           build: Callable[[DataFrame, list[str]], DataFrame], size: int | None = None) -> DataFrame:
     """Run window expressions whose frame reaches at most ``before``/``after`` positions.
 
-    ``build(df, keys)`` adds the window columns.  A hot key is cut into chunks of ``limit``
-    positions; the rows a neighbour chunk needs are sent to it as a halo and dropped afterwards.
+    ``build(df, keys)`` adds the window columns.  Keys are cut into chunks of ``size`` positions; the rows a neighbour
+    chunk needs are sent to it as a halo and dropped afterwards.
     """
-    if largest_group(df, keys) <= limit:
+    if size is None and fits_a_task(df):
         return build(df, list(keys))
-    size = max(limit, before + after + 1)
+    size = max(size or FRAME, before + after + 1)
     chunk = F.floor(F.col(pos) / size)
     inside = F.pmod(F.col(pos), F.lit(size))
     copies = F.array(
@@ -147,7 +149,7 @@ def framed(df: DataFrame, keys: Sequence[str], pos: str, before: int, after: int
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, extra: dict[str, Column] | None = None,
-                limit: int = GROUP_LIMIT) -> DataFrame:
+                blocks: int | None = None) -> DataFrame:
     """One row per distinct (key, value): count ``n``, rows below ``n_before``, key total ``n_total``.
 
     Counting happens map-side first, so ties and repeated values never travel as rows.
@@ -157,7 +159,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, extra: dict[str,
     counts = df.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(n) for n, c in extra.items()])
     names = ["n", *extra]
-    run = running(counts, keys, [value], {f"{n}_before": ("sum", F.col(n)) for n in names}, limit)
+    run = running(counts, keys, [value], {f"{n}_before": ("sum", F.col(n)) for n in names}, blocks)
     run = run.withColumns({f"{n}_before": F.col(f"{n}_before") - F.col(n) for n in names})
     totals = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_total"), *[F.sum(c).alias(f"{n}_total") for n, c in extra.items()])
@@ -167,10 +169,10 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, extra: dict[str,
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-              name: str = "q", limit: int = GROUP_LIMIT) -> DataFrame:
+              name: str = "q", blocks: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per key as one ``array<double>`` column."""
     df = df.filter(F.col(value).isNotNull())
-    r = value_ranks(df.select(*keys, value), keys, value, limit=limit)
+    r = value_ranks(df.select(*keys, value), keys, value, blocks=blocks)
     # small key: Spark's exact percentile would do; this form has no per-key buffer
     picks = F.filter(
         F.transform(F.lit([[i, float(p)] for i, p in enumerate(probs)]), lambda ip: F.struct(
@@ -196,13 +198,13 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
 
 
 def islands(df: DataFrame, keys: Sequence[str], pos: str, label: Column, name: str = "run_no",
-            limit: int = GROUP_LIMIT) -> DataFrame:
+            size: int | None = None, blocks: int | None = None) -> DataFrame:
     """Number of the maximal stretch of equal consecutive labels each row belongs to."""
     df = df.withColumn("_label", label)
     df = framed(df, keys, pos, 1, 0, lambda d, k: d.withColumn(
         "_new", F.when(F.col("_label").eqNullSafe(F.lag("_label").over(Window.partitionBy(*k).orderBy(pos))), 0)
-        .otherwise(1)), limit)
-    return running(df, keys, [pos], {name: ("sum", F.col("_new"))}, limit).drop("_label", "_new")
+        .otherwise(1)), size)
+    return running(df, keys, [pos], {name: ("sum", F.col("_new"))}, blocks).drop("_label", "_new")
 
 
 def tiles(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], size: int) -> DataFrame:

@@ -36,11 +36,11 @@ def evaluate_strategies(draws: DataFrame, keys: Sequence[str], pos: str, variant
     text = F.concat_ws(":", "strategy", F.col("round_no").cast("string"), "state", F.col("variant").cast("string"))
     v = v.withColumn("seed", F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint"))
     # the generator runs on plain columns behind a shuffle that also spreads the draws
-    v = v.select(*keys, "round_no", "mask", "strategy", "variant", "seed").repartition("round_no")
+    v = v.select(*keys, "round_no", "mask", "strategy", "variant", "seed").repartition(*keys, "round_no")
     v = v.withColumn("cand", generator_mask("seed"))
     a, b = X.numbers_of(F.col("cand")), X.numbers_of(F.col("mask"))
     v = v.withColumns({"hits": X.hits(F.col("cand"), F.col("mask")), "positional_mae": X.positional_mae(a, b), "signed_bias": X.signed_bias(a, b)})
-    best = top_rows(v, ["round_no", "strategy"], [F.desc("hits"), F.asc("positional_mae"), F.asc("seed")], 1, "_r")
+    best = top_rows(v, [*keys, "round_no", "strategy"], [F.desc("hits"), F.asc("positional_mae"), F.asc("seed")], 1, "_r")
     return best.drop("_r").withColumn("set_distance", 12 - 2 * F.col("hits"))
 
 

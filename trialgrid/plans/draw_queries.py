@@ -15,16 +15,19 @@ from trialgrid.plans.registry import query
 from trialgrid.plans.views import DRAWS, ODRAWS, R, draws, ordered_draws, table, with_
 
 
-@query("draw_validity", with_(DRAWS) + """SELECT series_id, round_no, valid FROM (SELECT series_id, round_no,
+@query("draw_validity", with_(DRAWS) + """SELECT series_id, round_no, bonus, valid FROM (SELECT *,
  round_no > 0 AND len(list_distinct(numbers)) = 6 AND list_min(numbers) >= 1 AND list_max(numbers) <= 45
- AND count(*) OVER (PARTITION BY series_id, round_no) = 1 AS valid FROM draws)""")
+ AND (bonus IS NULL OR (bonus BETWEEN 1 AND 45 AND NOT list_contains(numbers, bonus)))
+ AND count(*) OVER (PARTITION BY series_id, round_no) = 1 AS valid FROM (SELECT *, CASE WHEN round_no % 9 <> 0 THEN (rank % 47)::INTEGER END AS bonus FROM draws))""")
 def draw_validity(spark, sf):
-    d = draws(spark, sf)
-    n = F.col("numbers")
+    """Six distinct numbers in range, a bonus (may be absent) in range and not among them, one draw a round."""
+    d = draws(spark, sf).withColumn("bonus", F.when(F.col("round_no") % 9 != 0, F.col("rank") % 47).cast("int"))
+    n, bonus = F.col("numbers"), F.col("bonus")
     ok = (F.col("round_no") > 0) & (F.size(F.array_distinct(n)) == 6) & F.forall(n, lambda v: v.between(1, 45))
+    ok &= bonus.isNull() | (bonus.between(1, 45) & ~F.array_contains(n, bonus))
     # duplicates are found on (series, round), whose groups are tiny
     unique = F.count(F.lit(1)).over(Window.partitionBy("series_id", "round_no")) == 1
-    return d.select("series_id", "round_no", (ok & unique).alias("valid"))
+    return d.select("series_id", "round_no", "bonus", (ok & unique).alias("valid"))
 
 
 @query("find_draws", with_(DRAWS) + "SELECT d.round_no, d.numbers FROM draws d WHERE d.round_no IN (SELECT doc_id FROM labels)")
@@ -34,17 +37,19 @@ def find_draws(spark, sf):
     return draws(spark, sf).join(wanted, "round_no", "left_semi").select("round_no", "numbers")
 
 
-BLOCKS = [("Seen", 0, 820), ("Locked", 820, 1028), ("Blind", 1028, 10**15)]
+# fixed values: first and last round of each block
+BLOCKS = [("Blind-A", 468, 563), ("Blind-B", 564, 659), ("Locked-A", 660, 755), ("Locked-B", 756, 851),
+          ("Seen-A", 852, 947), ("Seen-B", 948, 1043), ("Seen-C", 1044, 1139), ("Seen-D", 1140, 1235)]
 
 
-@query("cohort_labels", with_(DRAWS) + """SELECT round_no, CASE WHEN round_no < 820 THEN 'Seen' WHEN round_no < 1028 THEN 'Locked' ELSE 'Blind' END AS block,
- CASE WHEN round_no < 1028 THEN 'Historical' ELSE 'Development' END AS cohort FROM draws""")
+@query("cohort_labels", with_(DRAWS) + "SELECT round_no, CASE " + " ".join(f"WHEN round_no BETWEEN {a} AND {b} THEN '{n}'" for n, a, b in BLOCKS) + """ END AS block,
+ CASE WHEN round_no BETWEEN 852 AND 1043 THEN 'Seen-Historical' WHEN round_no BETWEEN 1044 AND 1235 THEN 'Seen-Development' END AS cohort FROM draws""")
 def cohort_labels(spark, sf):
-    """Block by range join with a three-row table, cohort by split round."""
+    """Block by range join with an eight-row table (null outside all of them), cohort of the seen blocks by split round."""
     blocks = spark.createDataFrame(BLOCKS, "block string, lo bigint, hi bigint")
     d = draws(spark, sf).select("round_no")
-    return d.join(F.broadcast(blocks), (d.round_no >= blocks.lo) & (d.round_no < blocks.hi)).select(
-        "round_no", "block", F.when(F.col("round_no") < 1028, "Historical").otherwise("Development").alias("cohort"))
+    return d.join(F.broadcast(blocks), d.round_no.between(blocks.lo, blocks.hi), "left").select(
+        "round_no", "block", F.when(F.col("block").isin("Seen-A", "Seen-B"), "Seen-Historical").when(F.col("block").startswith("Seen"), "Seen-Development").alias("cohort"))
 
 
 @query("series_overview", """SELECT o_custkey // 10 AS series_id, count(*)::BIGINT AS rows, min(o_orderkey) AS first_round,

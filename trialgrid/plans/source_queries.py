@@ -82,15 +82,16 @@ def written_partitions(spark, sf):
     return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("append_log_runs", "SELECT DISTINCT user_id FROM events")
+@query("append_log_runs", "SELECT user_id, min(ts) AS ts FROM events GROUP BY 1")
 def append_log_runs(spark, sf):
-    """Run ids taken once from the event log by a streaming job with restartable state."""
+    """First record of each run id of the event log, taken once by a streaming job with restartable state."""
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     stream = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    runlog.ingest(stream, "user_id", "ts", f"{base}/out", f"{base}/state", "3650 days")
-    return spark.read.parquet(f"{base}/out").select("user_id")
+    planned = table(spark, sf, "events").select("user_id").distinct()
+    runlog.ingest(stream, "user_id", "ts", f"{base}/out", f"{base}/state", planned)
+    return runlog.read_log(spark, f"{base}/out")
 
 
 @query("id_formats", with_(RUNS) + """SELECT run_id, substr(sha256('{"algorithm":"'||algorithm||'","problem_id":'||problem_id||',"seed":'||seed||'}'),1,24) AS run_key, run_id||':p'||lpad((seed%100)::VARCHAR,3,'0') AS feature_id, '["'||domain||'","'||problem_family||'"]' AS group_key FROM runs""")

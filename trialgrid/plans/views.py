@@ -42,17 +42,15 @@ def draws(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(
         F.floor(F.col("o_custkey") / 10).cast("bigint").alias("series_id"),
         F.col("o_orderkey").cast("bigint").alias("round_no"))
-    k = F.col("round_no") % X.TOTAL_SETS
-    o = o.withColumn("rank", (k * 73939 + k * k * 17) % X.TOTAL_SETS)
+    o = o.withColumn("rank", F.conv(F.substring(F.md5(F.col("round_no").cast("string")), 1, 12), 16, 10).cast("bigint") % X.TOTAL_SETS)
     o = o.withColumn("numbers", X.set_at_rank(F.col("rank")))
     return o.withColumn("mask", X.mask_of(F.col("numbers")))
 
 
 def _draws_sql() -> str:
     """Six greedy digit steps of the combinatorial number system."""
-    key = f"(o_orderkey % {X.TOTAL_SETS})"
     sql = (f"SELECT o_custkey // 10 AS series_id, o_orderkey AS round_no, "
-           f"({key}*73939 + {key}*{key}*17) % {X.TOTAL_SETS} AS rank FROM orders")
+           f"CAST('0x'||substr(md5(o_orderkey::VARCHAR),1,12) AS BIGINT) % {X.TOTAL_SETS} AS rank FROM orders")
     sql = f"SELECT *, {X.TOTAL_SETS - 1} - rank AS d6 FROM ({sql})"
     for k in range(6, 0, -1):
         arr = "[" + ",".join(str(math.comb(c, k)) for c in range(45)) + "]"

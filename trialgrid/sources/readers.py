@@ -87,9 +87,14 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
 
 def log_tables(records: DataFrame) -> dict[str, DataFrame]:
     """problems, runs, traces and problem features of nested run records."""
+    def least(rows: DataFrame) -> DataFrame:
+        """One row a problem: the least of its rows, whatever the order of the files."""
+        rest = [c for c in rows.columns if c != "problem_id"]
+        return rows.groupBy("problem_id").agg(F.min(F.struct(*rest)).alias("_r")).select("problem_id", "_r.*").select(*rows.columns)
+
     return {
-        "problems": records.select("problem.*").dropDuplicates(["problem_id"]),
+        "problems": least(records.select("problem.*")),
         "runs": records.select("run_id", "problem.problem_id", "result.*"),
         "traces": records.select("run_id", F.inline("traces")),
-        "problem_features": records.select("problem.*").drop("problem_seed").dropDuplicates(["problem_id"]),
+        "problem_features": least(records.select("problem.*").drop("problem_seed")),
     }
