@@ -31,7 +31,7 @@ from trialgrid.llm.common import ascii_lower, fold_of, whole_text, word_hashes,
 
 END, START = np.uint64(0x5EED0E2D0001), np.uint64(0x5EED0B3A0002)  # stand for the end token and what precedes the first word
 PROBES = 4
-GATHER = 2_000_000  # tokens that a training task holds before it sends counts on
+GATHER = 1_000_000  # tokens that a training task holds before it sends counts on
 U = np.uint64
 
 
@@ -54,7 +54,7 @@ def tokens(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 400_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most `most` words each (or one text): working arrays stay small whatever the batch."""
     at, start = batch.column(column).offsets.to_numpy(), 0
     while start < batch.num_rows:
@@ -258,6 +258,8 @@ def scored(docs: DataFrame, model: Model, kappa: float = 2.0, id_col: str = "doc
     body = whole_text(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("content"), word_hashes(ascii_lower(body)).alias("words"))
     rows = written(rows.mapInArrow(run, SCORED), "scored")
+    model.filter.unpersist()  # workers need it no more; a later use sends it again
+    model.hot.unpersist()
     left = rows.select("doc_id", "content", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("doc_id", "content", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("times"))
     found = (left.join(model.rare, "word").groupBy("doc_id", "content")
              .agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("known")))
