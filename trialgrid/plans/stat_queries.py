@@ -16,7 +16,7 @@ from trialgrid.operators.ordered import framed, median, position, quantiles, run
 from trialgrid.plans.predict_queries import DIST, quality_rows
 from trialgrid.plans.registry import query
 from trialgrid.plans.run_queries import PAIRED
-from trialgrid.plans.views import DRAWS, ODRAWS, RUNS, SERIES, R, U, draws, ordered_draws, runs, series, table, with_
+from trialgrid.plans.views import DRAWS, KEY_SPACE, LANDSCAPE, ODRAWS, RUNS, SERIES, R, U, draws, landscape, ordered_draws, runs, series, table, with_
 
 def _left():
     return F.col("algorithm") == "challenger"
@@ -213,13 +213,21 @@ def surrogate_overlap(spark, sf):
     return f.filter("p IS NOT NULL").groupBy("kind").agg(r6(F.avg(X.hits(F.col("mask"), F.col("p")))).alias("mean_overlap"), F.count(F.lit(1)).alias("pairs"))
 
 
-@query("hypergeometric_null")
+_NULL = LANDSCAPE + f""",
+hg AS (SELECT round, count(*) AS good FROM land GROUP BY 1),
+h0 AS (SELECT round, good::DOUBLE AS k, exp(list_sum(list_transform(range(1000), lambda j: ln(1 - good / ({KEY_SPACE} - j))))) AS p FROM hg),
+hu AS (SELECT i, round, k, p, {U('i', 'round', "'null'")} AS u FROM h0, (SELECT unnest(range(50)) AS i)),
+hx AS (SELECT i, round, k, u, p, p AS c, 0::DOUBLE AS x FROM hu UNION ALL
+ SELECT i, round, k, u, q, c + q, x + 1 FROM (SELECT *, p * (k - x) * (1000 - x) / ((x + 1) * ({KEY_SPACE} - k - 1000 + x + 1)) AS q FROM hx WHERE u >= c AND x < 1000)),
+ht AS (SELECT i, sum(x) AS total FROM (SELECT i, round, max(x) AS x FROM hx GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query("hypergeometric_null", with_(_NULL).replace("WITH", "WITH RECURSIVE", 1) + f"SELECT {R('avg(total)')} AS null_mean, {R('stddev_samp(total)')} AS null_std, {R(f'(SELECT sum(good * 1000 / {KEY_SPACE}) FROM hg)')} AS expected FROM ht")
 def hypergeometric_null(spark, sf):
     """Null counts of good keys in a random budget of 1,000 per round: hashed inverse-CDF draws, summed over rounds."""
     import numpy as np
     import pandas as pd
 
-    from trialgrid.plans.views import KEY_SPACE, landscape
     good = landscape(spark, sf).groupBy("round").agg(F.count(F.lit(1)).alias("good"))
     g = good.select("round", "good", RS.iterations(50)).withColumn("u", X.hash_uniform("i", "round", F.lit("null")))
     budget, space = 1000, KEY_SPACE
@@ -238,8 +246,8 @@ def hypergeometric_null(spark, sf):
             yield pd.DataFrame({"i": pdf["i"], "x": out})
 
     per = g.mapInPandas(kernel, "i int, x double").groupBy("i").agg(F.sum("x").alias("total"))
-    exp = good.agg(F.sum(F.col("good") * budget / space).alias("expected"))
-    return per.agg(F.avg("total").alias("null_mean"), F.stddev_samp("total").alias("null_std")).crossJoin(exp)  # one row each
+    exp = good.agg(r6(F.sum(F.col("good") * budget / space)).alias("expected"))
+    return per.agg(r6(F.avg("total")).alias("null_mean"), r6(F.stddev_samp("total")).alias("null_std")).crossJoin(exp)  # one row each
 
 
 @query("rule_mining", with_(SERIES, "rf AS (SELECT key, avg(value) AS m, stddev_pop(value) AS s, avg((event_type='error')::INT) AS e, avg((event_type='purchase')::INT) >= 0.2 AS y, key%2=0 AS early FROM series GROUP BY 1)",
