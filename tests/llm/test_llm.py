@@ -288,6 +288,23 @@ def test_filter_levels_are_never_low():
     assert (f.levels(rng.integers(0, 2**63, 5000, dtype=np.uint64)) == 0).mean() > 0.95
 
 
+def test_false_probes_stay_rare_as_the_text_grows(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    unseen = np.random.default_rng(4).integers(0, 2**64, 20_000, dtype=np.uint64)
+    for n in (40, 400, 4000):
+        model = bloom_lm.train(docs_of(spark, [" ".join(word() for _ in range(60)) for _ in range(n)]), shard_bytes=1 << 18)
+        assert (model.filter.value.levels(unseen) > 0).mean() < 0.02, n
+
+
+def test_a_filter_above_the_broadcast_bound_gives_the_same_scores(spark, texts):
+    d = docs_of(spark, [*texts, texts[5]], [*range(len(texts)), 5]).union(docs_of(spark, [None, "x y"], [None, None]))
+    whole, sharded = (bloom_lm.train(d, hot_words=100, shard_bytes=4000, max_bytes=most) for most in (128 << 20, 1000))
+    assert whole.filter is not None and sharded.filter is None and sharded.log_shards > 3
+    order = lambda model: sorted(str(r.asDict()) for r in bloom_lm.scored(d, model).withColumns({c: F.round(c, 9) for c in ("base_score", "score")}).collect())
+    assert order(sharded) == order(whole)
+
+
 # sentencepiece
 
 def test_codec_equals_the_library(spark, texts):
