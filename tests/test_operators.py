@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,43 @@ def test_spectral_paths_agree_and_find_period_four(spark):
     assert a["period"] == b["period"] == 4.0 and abs(a["peak_share"] - b["peak_share"]) < 1e-6
 
 
+def test_long_spectra_equal_the_transform(spark):
+    r = np.random.default_rng(7)
+    made = {k: r.normal(size=n) + 0.3 * np.sin(np.arange(n) * 2 * math.pi * k / n) for k, n in enumerate((2, 3, 5, 64, 97, 1000, 1009, 4096), 1)} | {20: np.full(100, 2.5), 21: np.array([1.0])}
+    df = spark.createDataFrame([(k, i, len(x), float(v)) for k, x in made.items() for i, v in enumerate(x)], "key bigint, idx bigint, n bigint, v double").repartition(7)
+    whole = {x["key"]: x for x in D.spectral_peak(df, "v").collect()}
+    for limit in (1, 50, 300):
+        cut = {x["key"]: x for x in D.spectral_peak(df, "v", limit=limit).collect()}
+        assert cut.keys() == whole.keys() == made.keys()
+        for k, x in cut.items():
+            assert (x["bin"], x["period"]) == (whole[k]["bin"], whole[k]["period"]) and abs(x["peak_share"] - whole[k]["peak_share"]) < 1e-9
+
+
+def test_long_spectra_make_no_rows_by_frequency(spark):
+    plan = D.spectral_peak(spark.range(5).selectExpr("id AS key", "id AS idx", "id AS n", "id AS v"), "v", limit=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_phrases_equal_the_plain_search(spark):
+    def plain(text):
+        at = phrases = 0
+        while at < len(text):
+            size = 1
+            while at + size <= len(text) and text.find(text[at:at + size], 0, at) >= 0:
+                size += 1
+            at, phrases = at + size, phrases + 1
+        return phrases
+
+    r = np.random.default_rng(8)
+    made = {k: r.integers(0, 1 + k % 5, 1 + 13 * k) for k in range(40)} | {50: np.tile(r.integers(0, 4, 9), 30), 51: r.integers(0, 4, 200_000)}
+    df = spark.createDataFrame([(k, i, int(v) * 250_000) for k, x in made.items() for i, v in enumerate(x)], "key bigint, idx bigint, v bigint")
+    got = {x["key"]: x["phrases"] for x in D.phrase_counts(df, "v").collect()}
+    assert got.keys() == made.keys()
+    for k, x in made.items():
+        if k < 51:
+            assert got[k] == plain("".join(str(min(3, v)) for v in x)), k
+
+
 def test_step_series_change_point(spark):
     df = spark.createDataFrame([(1, i, 60, 0.0 if i < 24 else 1.0) for i in range(60)], "key bigint, idx bigint, n bigint, v double")
     assert D.mean_change(df, "v").first()["split"] == 24

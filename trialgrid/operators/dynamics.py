@@ -14,7 +14,8 @@ from trialgrid.operators.ordered import framed, islands, largest_group, median,
 STATES = 4
 STATE_WIDTH = 250_000
 
-GROUP_LIMIT = 2_000_000  # rows of a series that one Fourier transform takes
+GROUP_LIMIT = 2_000_000  # symbols of a series that one task parses
+SPECTRUM = 65_536  # rows of a series, or numbers of a grid, that one task transforms
 
 
 def state_of(v: Column) -> Column:
@@ -94,36 +95,108 @@ def turning_statistics(df: DataFrame, value: str) -> DataFrame:
         F.corr(F.abs(d0), F.abs(d1)).alias("volatility_autocorrelation"))
 
 
-def spectral_peak(df: DataFrame, value: str, limit: int = GROUP_LIMIT) -> DataFrame:
+def spectral_peak(df: DataFrame, value: str, limit: int = SPECTRUM) -> DataFrame:
     """Largest share of the periodogram, its period and bin.
 
-    Series up to ``limit`` rows use an FFT per series; longer ones are split over (time, frequency)
-    and summed map-side, so no series has to fit one task.
+    Series up to ``limit`` rows are transformed whole, longer ones by `long_spectral_peak`; each series takes its own way,
+    so no group grows with a hot key.
     """
     import numpy as np
     import pandas as pd
 
     d = df.select("key", "idx", "n", F.col(value).cast("double").alias("v"))
-    if largest_group(d, ["key"]) <= limit:
-        def fft(pdf):
-            x = pdf.sort_values("idx")["v"].to_numpy()
-            p = np.abs(np.fft.rfft(x - x.mean()))[1:] ** 2
-            if len(p) == 0 or p.sum() == 0:
-                return pd.DataFrame({"key": pdf["key"].iloc[:1], "peak_share": 0.0, "period": float(len(x)), "bin": 0})
-            i = int(np.argmax(np.round(p / p.sum(), 9)))
-            return pd.DataFrame({"key": [pdf["key"].iloc[0]], "peak_share": [p[i] / p.sum()], "period": [len(x) / (i + 1)], "bin": [i + 1]})
-
-        return d.groupBy("key").applyInPandas(fft, "key bigint, peak_share double, period double, bin bigint")
-    m = d.groupBy("key").agg(F.avg("v").alias("m"))
-    e = d.join(m, "key").select("key", "n", "idx", (F.col("v") - F.col("m")).alias("x"),
-                                F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2))).alias("k"))
-    a = F.lit(2 * math.pi) * F.pmod(F.col("k") * F.col("idx"), F.col("n")) / F.col("n")
-    p = e.groupBy("key", "n", "k").agg(F.sum(F.col("x") * F.cos(a)).alias("c"), F.sum(F.col("x") * F.sin(a)).alias("s"))
-    p = p.withColumn("p", F.col("c") * F.col("c") + F.col("s") * F.col("s"))
-    t = p.groupBy("key").agg(F.sum("p").alias("t"))
-    p = p.join(t, "key").withColumn("share", F.round(F.col("p") / F.col("t"), 9))
-    b = p.groupBy("key", "n").agg(F.max(F.struct("share", (-F.col("k")).alias("m"))).alias("b"))
-    return b.select("key", F.col("b.share").alias("peak_share"), (F.col("n") / -F.col("b.m")).alias("period"), (-F.col("b.m")).alias("bin"))
+
+    def fft(pdf):
+        x = pdf.sort_values("idx")["v"].to_numpy()
+        p = np.abs(np.fft.rfft(x - x.mean()))[1:] ** 2
+        if len(p) == 0 or p.sum() == 0:
+            return pd.DataFrame({"key": pdf["key"].iloc[:1], "peak_share": 0.0, "period": float(len(x)), "bin": 0})
+        i = int(np.argmax(np.round(p / p.sum(), 9)))
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "peak_share": [p[i] / p.sum()], "period": [len(x) / (i + 1)], "bin": [i + 1]})
+
+    short = d.filter(F.col("n") <= limit).groupBy("key").applyInPandas(fft, "key bigint, peak_share double, period double, bin bigint")
+    return short.unionByName(long_spectral_peak(d.filter(F.col("n") > limit), limit))
+
+
+def long_spectral_peak(d: DataFrame, block: int) -> DataFrame:
+    """`spectral_peak` of (key, idx, n, v) series of any length n, in groups of about ``block`` numbers.
+
+    The transform is a convolution with a chirp (Bluestein) of M >= 2n places, M a power of two, laid out as a grid of
+    rows x columns: columns are transformed, then rows (there the product is taken and turned back), then columns. A group
+    has some whole columns or some whole rows. The sum of the periodogram comes from the sum of squares (Parseval).
+    """
+    import numpy as np
+    import pandas as pd
+
+    block = 1 << block.bit_length() - 1  # groups of a grid are alike
+
+    def shape(n):
+        lg = (2 * n - 1).bit_length()
+        rows, cols = 1 << (lg + 1) // 2, 1 << lg // 2
+        return rows, cols, min(cols, max(1, block // rows)), min(rows, max(1, block // cols))  # columns and rows of a group
+
+    def chirp(j, n):
+        return np.exp(1j * np.pi * (j * j % (2 * n)) / n)
+
+    def turn(i, j, n, sign):
+        rows, cols, _, _ = shape(n)
+        return np.exp(sign * 2j * np.pi * (np.outer(i, j) % (rows * cols)) / (rows * cols))
+
+    def head(pdf, name):
+        return int(pdf["n"].iloc[0]), int(pdf[name].iloc[0]), {c: pdf[c].iloc[0] for c in ("key", "n", "total")}
+
+    def columns(pdf):
+        n, c, same = head(pdf, "c")
+        rows, cols, wide, high = shape(n)
+        own = np.arange(c * wide, (c + 1) * wide)
+        at = pdf["idx"].to_numpy()
+        a = np.zeros((rows, wide), complex)
+        a[at // cols, at % cols - own[0]] = (pdf["v"].to_numpy() - pdf["mean"].to_numpy()) * chirp(at, n).conj()
+        j = np.arange(rows)[:, None] * cols + own
+        j = np.minimum(j, rows * cols - j)  # the chirp runs backwards from the end
+        b = np.where(j < n, chirp(j, n), 0)
+        w = turn(np.arange(rows), own, n, -1)
+        a, b = np.fft.fft(a, axis=0) * w, np.fft.fft(b, axis=0) * w
+        r = range(rows // high)
+        return pd.DataFrame(same | {"r": r, "c": c, "a": [a[k * high:(k + 1) * high].tobytes() for k in r], "b": [b[k * high:(k + 1) * high].tobytes() for k in r]})
+
+    def lines(pdf):
+        n, r, same = head(pdf, "r")
+        rows, cols, wide, high = shape(n)
+        a, b = (np.hstack([np.frombuffer(x, complex).reshape(high, wide) for x in pdf.sort_values("c")[side]]) for side in "ab")
+        z = np.fft.ifft(np.fft.fft(a, axis=1) * np.fft.fft(b, axis=1), axis=1) * turn(np.arange(r * high, (r + 1) * high), np.arange(cols), n, 1)
+        c = range(cols // wide)
+        return pd.DataFrame(same | {"c": c, "r": r, "z": [np.ascontiguousarray(z[:, k * wide:(k + 1) * wide]).tobytes() for k in c]})
+
+    def peaks(pdf):
+        n, c, same = head(pdf, "c")
+        rows, cols, wide, high = shape(n)
+        z = np.vstack([np.frombuffer(x, complex).reshape(high, wide) for x in pdf.sort_values("r")["z"]])
+        j = (np.arange(rows)[:, None] * cols + np.arange(c * wide, (c + 1) * wide)).ravel()
+        p = np.abs(np.fft.ifft(z, axis=0).ravel()) ** 2
+        keep = (j >= 1) & (j <= n // 2)
+        j, share = j[keep], p[keep] / same["total"] if same["total"] else p[keep] * 0
+        if not len(j):
+            return pd.DataFrame({"key": [], "n": [], "rounded": [], "back": [], "share": []})
+        i = int(np.argmax(np.round(share, 9)))  # places ascend
+        return pd.DataFrame({"key": [same["key"]], "n": [n], "rounded": [round(share[i], 9)], "back": [-j[i] if same["total"] else 0], "share": [share[i]]})
+
+    signed = F.when(F.col("idx") % 2 == 0, F.col("v")).otherwise(-F.col("v"))
+    facts = d.groupBy("key").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("_v"), F.sum(signed).alias("_half"), F.first("n").alias("_n"))
+    middle = F.when(F.col("_n") % 2 == 0, F.col("_half") * F.col("_half")).otherwise(0.0)  # an even n has a middle bin, which counts once
+    total = F.when(F.col("_v") == 0, 0.0).otherwise((F.col("_n") * F.col("_n").cast("double") * F.col("_v") + middle) / 2)
+    facts = facts.select("key", "mean", total.alias("total"))
+    lg = F.length(F.bin(2 * F.col("n") - 1))
+    power = lambda e: F.pow(F.lit(2.0), F.floor(e)).cast("bigint")
+    wide = F.least(power(lg / 2), F.greatest(F.lit(1), F.floor(F.lit(block) / power((lg + 1) / 2))))
+    e = d.join(F.broadcast(facts), "key")  # one row for each series of more than `limit` rows
+    e = e.withColumn("c", F.floor(F.pmod("idx", power(lg / 2)) / wide).cast("bigint"))
+    same = "key bigint, n bigint, total double, "
+    grid = e.groupBy("key", "c").applyInPandas(columns, same + "r bigint, c bigint, a binary, b binary")
+    grid = grid.groupBy("key", "r").applyInPandas(lines, same + "c bigint, r bigint, z binary")
+    best = grid.groupBy("key", "c").applyInPandas(peaks, "key bigint, n bigint, rounded double, back bigint, share double")
+    best = best.groupBy("key", "n").agg(F.max(F.struct("rounded", "back", "share")).alias("b")).withColumn("bin", -F.col("b.back"))
+    return best.select("key", F.col("b.share").alias("peak_share"), (F.col("n") / F.greatest("bin", F.lit(1))).alias("period"), "bin")
 
 
 def mutual_information(df: DataFrame, value: str, max_lag: int = 12) -> DataFrame:
@@ -190,8 +263,11 @@ def recurrence(df: DataFrame, value: str, epsilon: float, tile: int = 512) -> Da
 def phrase_counts(df: DataFrame, value: str, limit: int = GROUP_LIMIT) -> DataFrame:
     """Exhaustive-history phrase count over state symbols.
 
-    The parse of a series is sequential; a series above ``limit`` symbols is refused, not truncated.
+    The parse of a series is sequential: it is one string in one task, read through an automaton of all substrings so far in
+    time that grows with its length. A series above ``limit`` symbols is refused, not truncated.
     """
+    from array import array
+
     import pandas as pd
 
     biggest = largest_group(df, ["key"])
@@ -199,19 +275,49 @@ def phrase_counts(df: DataFrame, value: str, limit: int = GROUP_LIMIT) -> DataFr
         raise ValueError(f"a series has {biggest} symbols, above the limit of {limit}")
     s = df.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", state_of(F.col(value)).alias("s")))), lambda r: r["s"].cast("string")), "").alias("text"))
 
+    def parsed(text):
+        place = {c: i for i, c in enumerate(sorted(set(text)))}
+        codes, k = [place[c] for c in text], len(place)
+        # states of the automaton: where each symbol leads, the next shorter class, the longest substring
+        step, link, longest, last = array("i", [-1] * k), array("i", [-1]), array("i", [0]), 0
+        none = array("i", [-1] * k)
+        at = phrases = 0
+        while at < len(codes):
+            state, end = 0, at
+            while end < len(codes) and step[state * k + codes[end]] >= 0:
+                state = step[state * k + codes[end]]
+                end += 1
+            end = min(end + 1, len(codes))
+            phrases += 1
+            for c in codes[at:end] if end < len(codes) else ():  # after the last phrase nothing is looked up
+                new = len(link)
+                link.append(0)
+                longest.append(longest[last] + 1)
+                step.extend(none)
+                p = last
+                while p >= 0 and step[p * k + c] < 0:
+                    step[p * k + c] = new
+                    p = link[p]
+                if p >= 0:
+                    q = step[p * k + c]
+                    if longest[q] == longest[p] + 1:
+                        link[new] = q
+                    else:
+                        copy = len(link)
+                        link.append(link[q])
+                        longest.append(longest[p] + 1)
+                        step.extend(step[q * k:q * k + k])
+                        while p >= 0 and step[p * k + c] == q:
+                            step[p * k + c] = copy
+                            p = link[p]
+                        link[q] = link[new] = copy
+                last = new
+            at = end
+        return phrases
+
     def kernel(batches):
         for pdf in batches:
-            counts = []
-            for text in pdf["text"]:
-                at = phrases = 0
-                while at < len(text):
-                    size = 1
-                    while at + size <= len(text) and text.find(text[at:at + size], 0, at) >= 0:
-                        size += 1
-                    at += size
-                    phrases += 1
-                counts.append(phrases)
-            yield pd.DataFrame({"key": pdf["key"], "phrases": counts})
+            yield pd.DataFrame({"key": pdf["key"], "phrases": [parsed(text) for text in pdf["text"]]})
 
     return s.mapInPandas(kernel, "key bigint, phrases bigint")
 
