@@ -399,6 +399,30 @@ def test_pages(spark):
         assert r["n_chars"] == len(r["text"])
 
 
+TEXT = "<p>The committee met, and it agreed on the plan for next year.</p><p>Costs rose, the report says, and little was planned.</p>"
+TEXT_OUT = "The committee met, and it agreed on the plan for next year. Costs rose, the report says, and little was planned."
+
+
+@pytest.mark.parametrize("html, want", [
+    ('<p>a <svg class="i"/> b</p>' + TEXT, "a b " + TEXT_OUT),
+    ('<p>a <svg class="i"><path d="M0"/><g><title>no</title></g></svg> b</p>' + TEXT, "a b " + TEXT_OUT),
+    ("<p>a <svg><g> b</p>" + TEXT, "a b " + TEXT_OUT),
+    ("<p>Let x<math><msup><mi>y</mi><mn>2</mn></msup><mspace/></math>z be it.</p>" + TEXT, "Let xy2z be it. " + TEXT_OUT),
+    ("<p>a <math> b</p>" + TEXT, "a b " + TEXT_OUT),
+    ("<object data=x><p>The film shows the plan, and the town.</p></object>" + TEXT, "The film shows the plan, and the town. " + TEXT_OUT),
+    ("<object data=x>" + TEXT, TEXT_OUT),
+    ("<noscript><p>The picture shows the plan, and the town.</p></noscript>" + TEXT, "The picture shows the plan, and the town. " + TEXT_OUT),
+    ("<canvas id=c></canvas><canvas id=d>" + TEXT, TEXT_OUT),
+    ("<select><option>no<option>none</select>" + TEXT, TEXT_OUT),
+    ("<select><option>no" + TEXT, TEXT_OUT),
+    ("<iframe src=x><p>no</p></iframe><textarea><p>no</p></textarea>" + TEXT, TEXT_OUT),
+])
+def test_only_raw_elements_hide_what_follows(spark, html, want):
+    page = f"<html><body><nav><a href=/x>Home</a></nav><article>{html}</article><footer>&copy; us</footer></body></html>"
+    rows = page_text.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).collect()
+    assert rows[0]["text"] == want
+
+
 def test_marginals_equal_enumeration():
     nodes, _ = page_text.parse(page_text.SEEDS[2][:420])
     model = page_text.Model({k: float(v) for k, v in page_text.counts(nodes, page_text.marked(nodes)).items()})

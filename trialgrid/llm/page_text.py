@@ -6,7 +6,8 @@ tag. Sum-product messages go from the leaves to the root and back, and the margi
 smoothed counts over labelled pages: a few written ones (`seed_pages`) and those of the table that mark their text with one
 `article` element, up to `max_labelled` in hash order (a documented bound); all pages are then extracted whole.
 
-Scripts, styles, templates, comments and form fields carry no text. Null and empty pages give the empty text. Repeated
+Scripts, styles, templates, frames, titles, comments and form fields carry no text; drawings, formulas, embedded objects and
+what stands in for scripts are parsed like the rest. Null and empty pages give the empty text. Repeated
 rows give the same text. Unclosed elements, stray end tags and pages cut anywhere are read as browsers do: an unfinished
 tag is dropped, and an open element ends with its parent. Only the id, url and html columns are read.
 """
@@ -28,12 +29,12 @@ from trialgrid.llm.seed_pages import SEEDS
 
 #: Fixed lists of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe textarea title svg math select object canvas head".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
+FOREIGN = frozenset("svg math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot mover munder munderover mspace mstyle mpadded mphantom mprescripts semantics".split())  # a closing slash ends them
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split()) | FOREIGN
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}),
         "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
-PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|textarea|title|svg|math|select|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|iframe|textarea|title(?![^>]*/>))\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/!?][^>]*\Z", re.S | re.I)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 MARK = re.compile(r"""\by\s*=\s*"([01])\"""")
@@ -59,6 +60,8 @@ def parse(page: str) -> tuple[list[Node], list[list]]:
 
     def text(raw: str) -> None:
         nonlocal fresh
+        if any(tag == "select" for tag, _ in stack):
+            return
         raw = references.unescape(raw)
         if not raw:
             return
@@ -95,9 +98,14 @@ def parse(page: str) -> tuple[list[Node], list[list]]:
                 if stack[i][0] == tag:
                     pop_to(i)
                     break
-                if tag in INLINE and stack[i][0] not in INLINE:
+                if tag in INLINE and tag not in FOREIGN and stack[i][0] not in INLINE:
                     break
             continue
+        if tag in CLOSES_P or tag in ("input", "select"):  # an open choice ends where something else begins
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] == "select":
+                    pop_to(i)
+                    break
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
@@ -113,7 +121,7 @@ def parse(page: str) -> tuple[list[Node], list[list]]:
                     break
                 if stack[i][0] in within:
                     break
-        if tag in VOID or m[4].endswith("/") and tag not in INLINE and tag not in CLOSES_P:
+        if tag in VOID or m[4].endswith("/") and (tag in FOREIGN or tag not in INLINE and tag not in CLOSES_P):
             fresh = fresh or tag in ("br", "hr")
             continue
         if tag in INLINE:
