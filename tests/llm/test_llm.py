@@ -141,6 +141,18 @@ def test_frequent_lines_go_and_depleted_texts_are_rejected(spark):
     assert not any(out[i]["kept"] for i in range(53, 63))
 
 
+def test_repeated_rows_lose_the_words_of_one(spark):
+    r = random.Random(2)
+    body = [" ".join("".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(90)) for _ in range(30)]
+    line = " ".join(f"shared{chr(97 + i)}" for i in range(30))
+    texts = [f"{line}\n{b}" for b in body]  # a quarter of the words goes
+    d = docs_of(spark, [*texts, *texts[:3], *texts[:3]], [*range(30), *[0, 1, 2] * 2])
+    d = d.union(docs_of(spark, [texts[0]], [0]).withColumn("source", F.lit("other")))
+    out = quality_rules.quality(d).collect()
+    assert len(out) == 37 and all(x["kept"] for x in out)
+    assert sorted(x["n_removed_words"] for x in out) == [0] + [30] * 36
+
+
 # packing
 
 def test_pieces_are_the_tokenizers_ids(spark, texts):

@@ -3,7 +3,7 @@
 Lines are normalised (lower case, runs of digits and white space to one space, trimmed) and hashed; for each host the
 distinct texts that hold a line are counted, so that plain copies count once. Lines above the host's limit are removed,
 and a text that loses too large a share of its words is rejected. A null text counts as empty, a null host as a host of
-its own. Rows are told apart by id and content; repeated rows get the same verdict. Only the id, text and host columns
+its own. Rows are told apart by id, host and content; repeated rows get the same verdict, that of one row. Only the id, text and host columns
 are read.
 """
 
@@ -33,13 +33,13 @@ def n_repeat_words(tokens: Column, width: int = 3) -> Column:
     return once(tokens, lambda w: once(F.array_sort(windows(w)), lambda s: once(F.array_sort(repeated(s)), covered)))
 
 
-def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """Per row: doc_id, host, content, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     body, tokens = F.col("body"), F.col("tokens")
     lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD))
-    rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body")).withColumn("tokens", words(body))
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(host_col).alias("host"), whole_text(text_col).alias("body")).withColumn("tokens", words(body))
     rows = rows.select(
-        "doc_id", F.size(tokens).cast("bigint").alias("n_words"), F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")).cast("bigint").alias("word_chars"),
+        "doc_id", "host", F.size(tokens).cast("bigint").alias("n_words"), F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace(body, SYMBOLS + "+", "")).cast("bigint").alias("n_symbols"),
         F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("bigint").alias("n_dup_lines"),
         n_repeat_words(tokens).cast("bigint").alias("n_repeat_words"), F.xxhash64(body).alias("content"))
@@ -51,11 +51,11 @@ def normal_line(line: Column) -> Column:
 
 
 def host_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """One row per row and distinct normalised line: its hash and the words that its occurrences hold."""
+    """One row per row and line: its place, the hash of its normalised form and its words."""
     body = whole_text(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.xxhash64(body).alias("content"),
-                       F.explode(F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD))).alias("line"))
-    return rows.select("doc_id", "host", "content", F.xxhash64(normal_line(F.col("line"))).alias("line"), F.size(words(F.col("line"))).alias("line_words"))
+                       F.posexplode(F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD))).alias("place", "line"))
+    return rows.select("doc_id", "host", "content", "place", F.xxhash64(normal_line(F.col("line"))).alias("line"), F.size(words(F.col("line"))).alias("line_words"))
 
 
 def frequent_lines(lines: DataFrame, least: int, share: float) -> DataFrame:
@@ -68,19 +68,20 @@ def frequent_lines(lines: DataFrame, least: int, share: float) -> DataFrame:
 
 def line_verdicts(docs: DataFrame, least: int = 20, share: float = 0.02, id_col: str = "doc_id", text_col: str = "text",
                   host_col: str = "source") -> DataFrame:
-    """Rows that lose words: doc_id, content, removed (words), lines (hashes of what goes)."""
+    """Rows that lose words: doc_id, host, content, removed (words of one row), lines (hashes of what goes)."""
     lines = host_lines(docs, id_col, text_col, host_col)
     often = written(frequent_lines(lines, least, share), "frequent-lines")
-    return (lines.join(often, ["host", "line"]).groupBy("doc_id", "content")
-            .agg(F.sum("line_words").alias("removed"), F.collect_set("line").alias("lines")))
+    once = F.size(F.collect_set("place")) / F.count("*")  # a repeated row brings every place again
+    return (lines.join(often, ["host", "line"]).groupBy("doc_id", "host", "content")
+            .agg(F.round(F.sum("line_words") * once).cast("bigint").alias("removed"), F.collect_set("line").alias("lines")))
 
 
 def quality(docs: DataFrame, least: int = 20, share: float = 0.02, remain: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
             host_col: str = "source") -> DataFrame:
     """Base counts and the verdict of every row; a text is depleted if less than `remain` of its words stay."""
-    lost = line_verdicts(docs, least, share, id_col, text_col, host_col).select(F.col("doc_id").alias("id"), F.col("content").alias("c"), "removed")
-    rows = base_counts(docs, id_col, text_col)
-    rows = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("c")), "left")
+    lost = line_verdicts(docs, least, share, id_col, text_col, host_col).select(F.col("doc_id").alias("id"), F.col("host").alias("h"), F.col("content").alias("c"), "removed")
+    rows = base_counts(docs, id_col, text_col, host_col)
+    rows = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("host") == F.col("h")) & (F.col("content") == F.col("c")), "left")
     removed = F.coalesce("removed", F.lit(0))
     depleted = F.col("n_words") - removed < remain * F.col("n_words")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -90,10 +91,10 @@ def quality(docs: DataFrame, least: int = 20, share: float = 0.02, remain: float
 def cleaned(docs: DataFrame, least: int = 20, share: float = 0.02, remain: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
             host_col: str = "source") -> DataFrame:
     """The kept rows with all columns, their texts without the frequent lines."""
-    lost = line_verdicts(docs, least, share, id_col, text_col, host_col).select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"), "lines")
+    lost = line_verdicts(docs, least, share, id_col, text_col, host_col).select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("content").alias("__content"), "lines")
     verdict = quality(docs, least, share, remain, id_col, text_col, host_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     rows = docs.withColumn("__body", whole_text(text_col))
-    rows = rows.join(lost.withColumnRenamed("lines", "__lines"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64("__body") == F.col("__content")), "left")
+    rows = rows.join(lost.withColumnRenamed("lines", "__lines"), F.col(id_col).eqNullSafe(F.col("__id")) & (whole_text(host_col) == F.col("__host")) & (F.xxhash64("__body") == F.col("__content")), "left")
     stay = F.array_join(F.filter(F.split("__body", "\n", -1), lambda x: ~F.array_contains("__lines", F.xxhash64(normal_line(x)))), "\n")
     rows = rows.withColumn(text_col, F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(stay))
     return rows.join(verdict, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
