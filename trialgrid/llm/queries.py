@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialgrid.llm import bloom_lm, exact_dedup, near_dedup, packing, page_text, piece_codec, quality_rules, secret_scan, suffix_dedup, toxicity
+from trialgrid.llm import (bloom_lm, exact_dedup, lexical_search, mixing, near_dedup, packing, page_text, piece_codec, quality_rules, secret_scan,
+                           suffix_dedup, toxicity, whitening)
 from trialgrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +74,18 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text back (the space mark itself reads as a space)."""
     docs = read(spark, folder, "documents")
     return piece_codec.round_trip(docs)
+
+
+@query("op11_source_mix", mixing.ORACLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken(*mixing.mix(read(spark, folder, "documents")))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(spark, folder, "embeddings"))
+
+
+@query("op13_lexical_search", lexical_search.ORACLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
