@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,9 +227,10 @@ def test_near_groups(spark, texts, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == near_brute(texts, percent)
 
 
-def test_near_large_group_is_settled_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("block", [2_000, 20_000, 4 << 20])  # buckets in blocks, buckets, whole clusters
+def test_near_large_group_is_settled_in_blocks(spark, monkeypatch, block):
     """A chain: each text is near its neighbours only, so neither star of a bucket joins all."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block)
     r = random.Random(4)
     words = [f"w{i}" for i in range(160)]
     chain = []
@@ -239,6 +241,25 @@ def test_near_large_group_is_settled_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == near_brute(chain, 85)
 
 
+def test_only_joining_links_leave_a_block():
+    """200 texts of one bucket, all linked: a tree of links, and none where nothing is linked or all are joined already."""
+    scheme = near_dedup.scheme_for(85)
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 2**63, 300, dtype=np.uint64)
+
+    def group(sets, comp):
+        sets = [np.unique(s) for s in sets]
+        sig = [np.zeros(scheme.values, np.uint16).tobytes()] * len(sets)
+        return pd.DataFrame({"i": 0, "j": 0, "mine": 0, "id": np.arange(len(sets)), "comp": comp, "sig": sig, "members": [s.tobytes() for s in sets]})
+
+    near = [np.append(base, np.uint64(i + 1)) for i in range(200)]
+    assert len(near_dedup.joining_links(group(near, np.arange(200)), 85, scheme)) == 199
+    assert len(near_dedup.joining_links(group(near, np.arange(200) // 50), 85, scheme)) == 3
+    assert len(near_dedup.joining_links(group(near, np.zeros(200, int)), 85, scheme)) == 0
+    far = [np.concatenate([base[:200], rng.integers(1, 2**63, 100, dtype=np.uint64)]) for _ in range(200)]
+    assert len(near_dedup.joining_links(group(far, np.arange(200)), 85, scheme)) == 0
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(50)]

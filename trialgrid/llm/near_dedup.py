@@ -8,8 +8,8 @@ and 36 differences.
 
 Texts with equal sets are one vertex. In a bucket (key) no product of its members is made: members are held against its
 smallest and its largest id, links found become components, and only members that are still in different components are
-compared with each other, in blocks of bounded size spread over tasks. Every candidate pair that could join two
-components is confirmed on the full sets of shingle hashes (64 bits).
+compared with each other, in blocks of bounded bytes spread over tasks. Every candidate pair that could join two
+components is confirmed on the full sets of shingle hashes (64 bits), inside the task that found it.
 
 Null and empty texts have no shingles and no links; a null id has no links either and its row stays. Rows under one id
 count as linked. Only the id and text columns are read.
@@ -30,7 +30,7 @@ from trialgrid.llm.common import ascii_lower, whole_text, word_hashes, written
 from trialgrid.llm.components import components
 
 WIDTH = 5
-BLOCK = 256  # members of a bucket that one task compares with each other
+BLOCK_BYTES = 4 << 20  # shingle hashes of the members that one task compares with each other, from each of two sides
 BROADCAST_IDS = 1_000_000  # at most so many ids (16 MB) are broadcast; beyond, the join is a shuffle
 
 
@@ -148,71 +148,86 @@ def sets_linked(percent: int):
     return linked
 
 
-def full_sets(texts: DataFrame, near: DataFrame) -> DataFrame:
-    """(id, members) of the ids in the pairs."""
+def full_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, members) of the given ids: packed shingle hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], names=["id", "members"])
 
-    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = F.broadcast(ids) if 2 * near.count() <= BROADCAST_IDS else ids
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     found = texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
     # one set an id: repeated rows of an id have the same set, or count as linked anyway
     return written(found.mapInArrow(run, "id bigint, members binary"), "sets")
 
 
-def confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int, scheme: Scheme) -> DataFrame:
+def confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, scheme: Scheme) -> DataFrame:
     """The pairs (a, b) whose full sets are linked."""
     left, right = (sigs.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     near = written(pairs.distinct().join(left, "a").join(right, "b").where(signatures_near(scheme)("sig_a", "sig_b")).select("a", "b").distinct(), "near")
-    sets = full_sets(texts, near)
     left, right = (sets.select(F.col("id").alias(c), F.col("members").alias(f"set_{c}")) for c in "ab")
     return written(near.join(left, "a").join(right, "b").where(sets_linked(percent)("set_a", "set_b")).select("a", "b").distinct(), "links")
 
 
-def unresolved(rows: DataFrame, comps: DataFrame, sigs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Near pairs (a, b) of a bucket's members that are in different components and not yet held against each other."""
+def unresolved(rows: DataFrame, comps: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, scheme: Scheme) -> DataFrame:
+    """Links (a, b) between bucket members that are in different components and were not held against each other.
+
+    Buckets that share members form a cluster. A cluster whose sets fit a block is one unit of work, so each set travels once; of a
+    larger one each bucket is a unit. Units above a block are cut, and every pair of their parts is a task of its own. A task
+    confirms on the full sets and returns only links that join two components: fewer than it has members.
+    """
     rest = rows.where("id <> lo AND id <> hi").join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     rest = written(rest, "rest")
-    open_keys = rest.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 <> c2").select("key", "n")
-    rest = rest.join(written(open_keys, "open"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rest = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "comp").join(sigs, "id")
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for f in frames:
-            cut = f[["key", "i", "j"]].ne(f[["key", "i", "j"]].shift()).any(axis=1).to_numpy().nonzero()[0]
-            if held and len(f) and (f[["key", "i", "j"]].iloc[0] != held[-1][["key", "i", "j"]].iloc[-1]).any():
-                yield near_pairs(pd.concat(held), scheme)
-                held = []
-            edges = [*cut, len(f)]
-            for a, b in zip(edges, edges[1:]):
-                if a and held:
-                    yield near_pairs(pd.concat(held), scheme)
-                    held = []
-                held.append(f.iloc[a:b])
-        if held:
-            yield near_pairs(pd.concat(held), scheme)
-
-    dealt = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "mine", "id", "comp", "sig").mapInPandas(compare, "a bigint, b bigint")
-
-
-def near_pairs(group: pd.DataFrame, scheme: Scheme) -> pd.DataFrame:
-    """Pairs of one block with itself (i = j), or of block i with block j."""
-    ids, comp, block = group["id"].to_numpy(), group["comp"].to_numpy(), group["mine"].to_numpy()
-    sig = scheme.matrix(group["sig"])
-    i, j = group["i"].iloc[0], group["j"].iloc[0]
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    open_keys = rest.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("id").alias("first")).where("c1 <> c2").select("key", "first")
+    rest = written(rest.join(written(open_keys, "open"), "key"), "open-members")
+    cluster = components(rest.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    sized = rest.join(cluster.withColumnRenamed("comp", "cluster"), "id").join(sets.select("id", (F.octet_length("members") + 200).alias("bytes")).dropDuplicates(["id"]), "id")
+    sized = written(sized.select("key", "cluster", "id", "comp", "bytes"), "sized")
+    once = sized.select("cluster", "id", "comp", "bytes").distinct()
+    large = once.groupBy("cluster").agg(F.sum("bytes").alias("total"))
+    once = once.join(large, "cluster").where(F.col("total") <= BLOCK_BYTES).select(F.lit(0).alias("kind"), F.col("cluster").alias("unit"), "id", "comp", "bytes", F.lit(1).alias("blocks"))
+    each = sized.join(large.where(F.col("total") > BLOCK_BYTES), "cluster").select("key", "id", "comp", "bytes").distinct()
+    blocks = each.groupBy("key").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    each = each.join(blocks, "key").select(F.lit(1).alias("kind"), F.col("key").alias("unit"), "id", "comp", "bytes", "blocks")
+    rest = once.unionByName(each).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("kind", "unit", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "comp").join(sigs, "id").join(sets, "id")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        return joining_links(group, percent, scheme)
+
+    dealt = rest.select("kind", "unit", "i", "j", "mine", "id", "comp", "sig", "members").groupBy("kind", "unit", "i", "j")
+    return written(dealt.applyInPandas(compare, "a bigint, b bigint").distinct(), "joining")
+
+
+def joining_links(group: pd.DataFrame, percent: int, scheme: Scheme) -> pd.DataFrame:
+    """Confirmed links that join components, of one block with itself (i = j) or of block i with block j."""
+    ids, comp, block = group["id"].to_numpy(), group["comp"].to_numpy().copy(), group["mine"].to_numpy()
+    sig, sets = scheme.matrix(group["sig"]), [np.frombuffer(m, np.uint64) for m in group["members"]]
+    sizes = np.array([len(s) for s in sets])
+    left, right = np.flatnonzero(block == group["i"].iloc[0]), np.flatnonzero(block == group["j"].iloc[0])
+    # shingle -> members of the right block that hold it
+    held, owner = np.concatenate([sets[y] for y in right]), np.repeat(right, sizes[right])
+    order = np.argsort(held, kind="stable")
+    owner = owner[order]
+    known, first = np.unique(held[order], return_index=True)
+    last = np.append(first[1:], len(held))
     found = []
     for x in left:
-        y = right[(ids[right] != ids[x]) & (comp[right] != comp[x])]
+        y = right[comp[right] != comp[x]]
         y = y[(sig[y] != sig[x]).sum(1) <= scheme.far]
-        found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pd.DataFrame(pairs, columns=["a", "b"])
+        if not len(y):
+            continue
+        at = np.searchsorted(known, sets[x])
+        at = at[at < len(known)]
+        at = at[np.isin(known[at], sets[x])]
+        runs = last[at] - first[at]
+        holders = owner[np.repeat(first[at] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())]
+        both = np.bincount(holders, minlength=len(ids))[y]
+        for z in y[100 * both >= percent * (sizes[x] + sizes[y] - both)]:
+            if comp[z] != comp[x]:
+                found.append((min(ids[x], ids[z]), max(ids[x], ids[z])))
+                comp[comp == comp[z]] = comp[x]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,9 +242,10 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     shared = written(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"), "shared-keys")
     members = written(keys.join(shared, "key").distinct(), "members")
     stars = members.select(F.col("lo").alias("a"), F.col("id").alias("b")).unionByName(members.select(F.col("id").alias("a"), F.col("hi").alias("b"))).where("a < b")
-    links = confirmed(stars, sigs, texts, percent, scheme)
+    sets = full_sets(texts, members.select("id").distinct())
+    links = confirmed(stars, sigs, sets, percent, scheme)
     comps = components(links)
-    more = confirmed(unresolved(members, comps, sigs, scheme), sigs, texts, percent, scheme)
+    more = unresolved(members, comps, sigs, sets, percent, scheme)
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     found = same.join(comps, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("comp", "id").alias("comp"))
