@@ -161,8 +161,7 @@ def test_pieces_are_the_tokenizers_ids(spark, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    more = [*texts, "a  b \n c", "tail  ", " lead", "don't  stop now 日本 😀", "<|endoftext|> x", "a\t b"]
+    more = [*texts, "<|endoftext|>", "a <|endoftext|><|endoftext|>  b<|endoftext|>c <|endof", "x<|endoftext|> y", "a  b \n c", "tail  ", " lead", "don't  stop now 日本 😀", "<|endoftext|> x", "a\t b"]
     ids = [np.array([*e.ids, 2], np.uint32) for e in t.encode_batch([x or "" for x in more], add_special_tokens=False)]
     rows = packing.pack_documents(docs_of(spark, more)).collect()
     by_doc = {}
@@ -178,6 +177,17 @@ def test_pieces_are_the_tokenizers_ids(spark, texts):
     check_bins([(r["sequence_id"], r["offset"], r["length"]) for r in rows], 1024)
 
 
+def test_large_ids_beside_a_null_id(spark):
+    """Whole numbers above 2^53 in a column with a null, through the stages that work in Python."""
+    ids = [2**60 + 1, None, 2**60 + 3, 5]
+    docs = docs_of(spark, ["You are a stupid idiot!", "plain text", "also plain", None], ids)
+    assert {r["doc_id"] for r in packing.pack_documents(docs).collect()} == set(ids)
+    labels = spark.createDataFrame([(i, 0, i == ids[0] and 1 or 0) for i in ids if i], "doc_id long, quality int, toxic int")
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in toxicity.verdicts(docs, labels).collect()) == sorted((i is None, i or 0) for i in ids)
+    model = toxicity.Model(0.5, {"idiot": 1.0})
+    assert {r["doc_id"] for r in toxicity.featured(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("half")), [model.weights]).collect()} == set(ids)
+
+
 def check_bins(rows, most):
     bins = {}
     for s, o, n in rows:

@@ -7,19 +7,19 @@ Only lengths and checksums leave the tokenising tasks. A shard wastes at most it
 global packing is a few bins in many thousands.
 
 A null text counts as empty and is one piece holding the end id. Repeated rows are packed like different ones. Only the
-id and text columns are read. Ids are those of the `tokenizers` file; the byte-pair ranks of the same vocabulary give
-them faster word by word, which tests compare.
+id and text columns are read. Ids are those of the `tokenizers` file, whose added tokens are one id each wherever a text holds
+their string; the byte-pair ranks of the same vocabulary give all others faster word by word, which tests compare.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +33,12 @@ _table: dict[str, "WordIds"] = {}
 class WordIds(dict):
     """Bytes of the ids (unsigned 32 bits each) of a space and a word, computed once a word."""
 
-    def __init__(self, ranks: str, pattern: str):
+    def __init__(self, ranks: str, pattern: str, vocabulary: str):
         import tiktoken
 
+        with open(vocabulary, encoding="utf-8") as file:
+            self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in json.load(file)["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         with open(ranks, "rb") as lines:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={}).encode_ordinary
@@ -47,7 +50,13 @@ class WordIds(dict):
     def plain(self, text: str) -> bytes:
         return array("I", self.encode(text)).tobytes()
 
-    def of(self, text: str, odd=re.compile(r"\s ").search) -> bytes:
+    def of(self, text: str) -> bytes:
+        """Texts are cut at added tokens first."""
+        if self.cut is None or not any(a in text for a in self.added):
+            return self.words(text)
+        return b"".join(self.added.get(part) or self.words(part) for part in self.cut(text) if part)
+
+    def words(self, text: str, odd=re.compile(r"\s ").search) -> bytes:
         """A token never spans a space that follows a word, so words can be looked up one by one."""
         if odd(text):
             return self.plain(text)
@@ -58,22 +67,22 @@ class WordIds(dict):
         return out
 
 
-def word_ids(ranks: str) -> WordIds:
+def word_ids(ranks: str, vocabulary: str) -> WordIds:
     import public_tokenizers
 
     if ranks not in _table:
-        _table[ranks] = WordIds(public_tokenizers.path(ranks), public_tokenizers.PATTERN)
+        _table[ranks] = WordIds(public_tokenizers.path(ranks), public_tokenizers.PATTERN, public_tokenizers.path(vocabulary))
     return _table[ranks]
 
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def pieces(docs: DataFrame, most: int = 1024, end_id: int = 2, ranks: str = "byte_bpe_50k.tiktoken", id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, most: int = 1024, end_id: int = 2, ranks: str = "byte_bpe_50k.tiktoken", vocabulary: str = "byte_bpe_50k.json",
+           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of every text: doc_id, piece, start, length, ids_crc32."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end = word_ids(ranks), array("I", [end_id]).tobytes()
+        table, end = word_ids(ranks, vocabulary), array("I", [end_id]).tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -144,14 +153,15 @@ def pack(parts: DataFrame, most: int = 1024, shard_pieces: int = 40_000) -> Data
     shards = max(1, round(parts.count() / shard_pieces))
     dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
 
-    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=False, kind="stable").reset_index(drop=True)
-        place = best_two_fit(rows["length"].tolist(), most)
-        rows["sequence_id"] = [int(key[0]) << 32 | number for number, _ in place]
-        rows["offset"] = [at for _, at in place]
-        return rows.drop(columns="shard")
+    def fill(rows: pa.Table) -> pa.Table:
+        # ids stay in Arrow: pandas has no whole numbers beside nulls
+        shard = rows.column("shard")[0].as_py()
+        rows = rows.sort_by([(c, "descending") for c in ("length", "doc_id", "piece", "ids_crc32")]).drop_columns(["shard"])
+        place = best_two_fit(rows.column("length").to_pylist(), most)
+        rows = rows.append_column("sequence_id", pa.array([shard << 32 | number for number, _ in place], pa.int64()))
+        return rows.append_column("offset", pa.array([at for _, at in place], pa.int64()))
 
-    return dealt.groupBy("shard").applyInPandas(fill, PIECE + ", sequence_id bigint, offset bigint")
+    return dealt.groupBy("shard").applyInArrow(fill, PIECE + ", sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, most: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

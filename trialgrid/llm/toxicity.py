@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -99,12 +100,13 @@ class Lexicon(dict):
 
 def featured(texts: DataFrame, weights: list[dict[str, float]]) -> DataFrame:
     """`texts` has doc_id, text and half, the place of the lexicon in `weights`."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicons = [Lexicon(w) for w in weights]
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "features": [lexicons[h].features(t) for h, t in zip(f["half"], f["text"])]})
+        for batch in batches:  # ids stay in Arrow: pandas has no whole numbers beside nulls
+            features = [lexicons[h].features(t) for h, t in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(features, pa.list_(pa.float64()))], names=["doc_id", "features"])
 
-    return texts.select("doc_id", "text", "half").mapInPandas(run, FEATURES)
+    return texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "half").mapInArrow(run, FEATURES)
 
 
 def learn_lexicon(rows: DataFrame, counts: dict[tuple[int, int], int], least: int, entries: int) -> list[dict[str, float]]:
