@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -525,3 +526,24 @@ def test_filters_keep_clashing_columns(spark):
 
 def test_every_operator_has_its_query():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+
+
+def test_page_text_of_odd_markup():
+    """Custom elements, quotes inside unquoted values, empty comments."""
+    def text(page):
+        return " ".join("".join(t for _, t in page_text.parse(page)[1]).split())
+
+    for name in ("title-card", "style-guide", "template-x", "scripted"):
+        assert text(f"<p>one</p><{name}>note</{name}><p>two</p>") == "onenotetwo"
+    assert text("<p title=it's>one</p><p>it's two</p>") == "oneit's two"
+    assert text("<p title=it's>one</p><p>two</p>") == "onetwo"
+    assert text("<p title='a>b' data-x=\"c>d\">one</p>") == "one" and text("<p title = 'a>b'>one</p>") == "one"
+    assert text("<!-->one<!--->two<!-- a > b -->three<!-- c --!>four") == "onetwothreefour"
+    assert text("<script>a</script>one<style >b</style><title>c</title>two") == "onetwo"
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 8000, "<b>" * 4000 + "<p>x" * 4000, "<b>" * 4000 + "<p>x</p>" * 4000, "<i>" * 8000 + "x</u>" * 8000, "<ul>" * 4000 + "<dd>x" * 4000])
+def test_deep_pages_take_linear_time(page):
+    started = time.perf_counter()
+    nodes, runs = page_text.parse(page)
+    assert runs and time.perf_counter() - started < 0.5

@@ -34,8 +34,10 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}),
         "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
-PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|iframe|textarea|title(?![^>]*/>))\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-                  r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/!?][^>]*\Z", re.S | re.I)
+#: A quote opens a value only after an equals sign; a raw element's name ends where the name ends.
+ATTRIBUTES = r"""(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+"""
+PART = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|template|iframe|textarea|title(?![^>]*/>))(?=[\s/>])" + ATTRIBUTES + r">.*?(?:</\1\s*>|\Z)"
+                  r"|<(/?)([a-zA-Z][^\s/>]*)(" + ATTRIBUTES + r")>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/!?][^>]*\Z", re.S | re.I)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 MARK = re.compile(r"""\by\s*=\s*"([01])\"""")
 
@@ -56,11 +58,12 @@ def parse(page: str) -> tuple[list[Node], list[list]]:
     """Block elements in page order (parents first), and the runs of text between block ends as [node, text]."""
     nodes, runs = [Node("#root")], []
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with the block they belong to
+    opened: Counter = Counter()  # open elements by name: no scan of the stack for one that isn't there
     fresh, links, at = True, 0, 0
 
     def text(raw: str) -> None:
         nonlocal fresh
-        if any(tag == "select" for tag, _ in stack):
+        if opened["select"]:
             return
         raw = references.unescape(raw)
         if not raw:
@@ -84,6 +87,7 @@ def parse(page: str) -> tuple[list[Node], list[list]]:
         for tag, _ in stack[i:]:
             fresh = fresh or tag not in INLINE
             links -= tag == "a"
+            opened[tag] -= 1
         del stack[i:]
 
     for m in PART.finditer(page):
@@ -94,26 +98,26 @@ def parse(page: str) -> tuple[list[Node], list[list]]:
         if not tag:
             continue
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
                     pop_to(i)
                     break
                 if tag in INLINE and tag not in FOREIGN and stack[i][0] not in INLINE:
                     break
             continue
-        if tag in CLOSES_P or tag in ("input", "select"):  # an open choice ends where something else begins
+        if opened["select"] and (tag in CLOSES_P or tag in ("input", "select")):  # an open choice ends where something else begins
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "select":
                     pop_to(i)
                     break
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
                     pop_to(i)
                     break
                 if stack[i][0] not in INLINE:
                     break
-        if tag in SAME:
+        if tag in SAME and any(opened[t] for t in SAME[tag][0]):
             ends, within = SAME[tag]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in ends:
@@ -126,6 +130,7 @@ def parse(page: str) -> tuple[list[Node], list[list]]:
             continue
         if tag in INLINE:
             stack.append((tag, stack[-1][1]))
+            opened[tag] += 1
             links += tag == "a"
             continue
         fresh = True
@@ -133,6 +138,7 @@ def parse(page: str) -> tuple[list[Node], list[list]]:
         mark = MARK.search(m[4]) if m[4] else None
         nodes.append(Node(tag, names, int(mark[1]) if mark else None, stack[-1][1]))
         stack.append((tag, len(nodes) - 1))
+        opened[tag] += 1
     if at < len(page):
         text(page[at:])
     return nodes, runs
