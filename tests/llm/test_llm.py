@@ -547,3 +547,17 @@ def test_deep_pages_take_linear_time(page):
     started = time.perf_counter()
     nodes, runs = page_text.parse(page)
     assert runs and time.perf_counter() - started < 0.5
+
+
+def test_many_findings_of_one_text(spark):
+    """Places of 20,000 findings, and the text without them."""
+    keys = [f"AKIA{i:016d}" for i in range(20_000)]
+    docs = docs_of(spark, [" é ".join(keys), "none", "token = abcdef12, secret:zzzzzz9 AKIA" + "A" * 20])
+    started = time.perf_counter()
+    found, _ = secret_scan.scan(docs)
+    row = {r["doc_id"]: r for r in found.collect()}[0]
+    access = [s for s in row["found"] if s["kind"] == "access"]
+    assert [(s["start"], s["stop"]) for s in access] == [(23 * i, 23 * i + 20) for i in range(20_000)]
+    out = {r["doc_id"]: r["text"] for r in secret_scan.without_secrets(docs).collect()}
+    assert out[0] == " é ".join(["[SECRET]"] * 20_000) and out[1] == "none" and "abcdef12" not in out[2]
+    assert time.perf_counter() - started < 60

@@ -42,31 +42,38 @@ RULES = (
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 BASE = ("assign", "access", "hex")
+PART = 256  # findings of a text whose places are added up together: time grows in proportion to the findings
 SPAN = "array<struct<start:int,nth:int,stop:int,rule:string>>"
 
 
 def spans(text: Column, rule: Rule, nth: int) -> Column:
     """The rule's matches as (start, nth, stop, rule): what lies between matches gives their places."""
-    def walk(gaps: Column, hits: Column, tested: Column) -> Column:
-        ends = F.aggregate(
-            F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), tested.alias("test")),
-            F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out")),
-            lambda acc, x: step(acc, x))
-        return F.coalesce(ends["out"], F.array().cast(SPAN))
+    def walk(found: Column) -> Column:
+        lengths = F.zip_with(found["gap"], F.transform(found["hit"], lambda h: F.length(h)), lambda g, h: F.struct(F.length(g).alias("gap"), F.coalesce(h, F.lit(0)).alias("hit")))
+        whole = F.zip_with(lengths, F.transform(found["test"], lambda t: F.length(t)), lambda x, t: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), t.alias("test")))
+        return F.transform(F.array(F.struct(whole.alias("z"))), lambda s: in_parts(s["z"]))[0]
+
+    def in_parts(z: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.size(z) - 1, F.lit(PART))
+        sizes = F.transform(parts, lambda c: F.aggregate(F.slice(z, c + 1, PART), F.lit(0), lambda a, x: a + x["gap"] + x["hit"]))
+        return F.transform(F.array(F.struct(parts.alias("parts"), sizes.alias("sizes"))), lambda s: F.flatten(F.transform(
+            s["parts"], lambda c, i: one_part(F.slice(z, c + 1, PART), F.aggregate(F.slice(s["sizes"], 1, i), F.lit(0), lambda a, x: a + x)))))[0]
+
+    def one_part(z: Column, at: Column) -> Column:
+        return F.aggregate(z, F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.coalesce(F.length(x["hit"]), F.lit(0))
+        start = acc["at"] + x["gap"]
+        stop = start + x["hit"]
         one = F.array(F.struct(start.alias("start"), F.lit(nth).alias("nth"), stop.alias("stop"), F.lit(rule.name).alias("rule")))
-        out = F.coalesce(acc["out"], F.array().cast(SPAN))
-        good = F.coalesce(F.length(x["test"]) >= rule.least, F.lit(False))
-        return F.struct(stop.alias("at"), F.when(good, F.concat(out, one)).otherwise(out).alias("out"))
+        good = F.coalesce(x["test"] >= rule.least, F.lit(False))
+        return F.struct(stop.alias("at"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     pattern = F.lit(rule.pattern)
     found = F.transform(
         F.array(F.struct(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"),
                          F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("test"))),
-        lambda s: walk(s["gap"], s["hit"], s["test"]))[0]
+        walk)[0]
     return F.when(F.regexp_like(text, pattern), found).otherwise(F.array().cast(SPAN))
 
 
@@ -119,13 +126,23 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping spans replaced by one mark."""
-    def step(acc: Column, s: Column) -> Column:
-        more = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), more.alias("out"))
-
-    done = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, done).otherwise(text)
+    """The text with each run of overlapping spans replaced by one mark; spans are taken in parts, each with its own stretch of the text."""
+    def part(c: Column) -> Column:
+        own = F.slice(found, c + 1, PART)
+        begin = F.coalesce(F.array_max(F.transform(F.slice(found, 1, c), lambda s: s["stop"])), F.lit(0))
+        end = F.array_max(F.transform(own, lambda s: s["stop"]))
+        return F.transform(F.array(F.struct(own.alias("own"), begin.alias("begin"), F.substring(text, begin + 1, F.greatest(end - begin, F.lit(0))).alias("stretch"))), one_part)[0]
+
+    def one_part(p: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            more = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(p["stretch"], acc["at"] - p["begin"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), more.alias("out"))
+
+        return F.aggregate(p["own"], F.struct(p["begin"].alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    done = F.array_join(F.transform(F.sequence(F.lit(0), F.size(found) - 1, F.lit(PART)), part), "")
+    last = F.array_max(F.transform(found, lambda s: s["stop"]))
+    return F.when(F.size(found) > 0, F.concat(done, F.substring(text, last + 1, F.length(text)))).otherwise(text)
 
 
 def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
