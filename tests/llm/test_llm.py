@@ -143,6 +143,20 @@ def test_frequent_lines_go_and_depleted_texts_are_rejected(spark):
     assert not any(out[i]["kept"] for i in range(53, 63))
 
 
+def test_the_limit_of_a_line_does_not_grow_with_its_host(spark):
+    """21 documents of a large host suffice; of a small one its share; copies are documents."""
+    def rows(host, held, others):
+        own = lambda k: str(k).translate(str.maketrans("0123456789", "abcdefghij"))  # noqa: E731  digits do not count
+        return [(k, f"{host} line\nx{own(k)}", host) for k in range(held)] + [(10_000 + k, f"{host} y{own(k)}", host) for k in range(others)]
+
+    made = rows("large", 21, 3000) + rows("below", 20, 3000) + rows("small", 11, 39) + rows("less", 10, 40) + rows("tiny", 9, 0)
+    made += [(5000 + k, "copied line", "copies") for k in range(30)]
+    df = spark.createDataFrame([(f"{s}{k}", t, s) for k, t, s in made], "doc_id string, text string, source string")
+    lines = quality_rules.host_lines(df, "doc_id", "text", "source")
+    often = quality_rules.frequent_lines(lines, 20, 0.2, 10)
+    assert sorted(r["host"] for r in often.collect()) == ["copies", "large", "small"]
+
+
 def test_repeated_rows_lose_the_words_of_one(spark):
     r = random.Random(2)
     body = [" ".join("".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(90)) for _ in range(30)]

@@ -1,7 +1,8 @@
 """Quality rules: word counts and repetition inside a text, and lines that many texts of a host share; DataFrame functions only.
 
 Lines are normalised (lower case, runs of digits and white space to one space, trimmed) and hashed; for each host the
-distinct texts that hold a line are counted, so that plain copies count once. Lines above the host's limit are removed,
+documents that hold a line are counted. Lines in more than 20 documents of a host are removed; for hosts below 100 documents
+the limit is a fifth of them, but not below 10. Copies are documents like others: what a host repeats that often goes,
 and a text that loses too large a share of its words is rejected. A null text counts as empty, a null host as a host of
 its own. Rows are told apart by id, host and content; repeated rows get the same verdict, that of one row. Only the id, text and host columns
 are read.
@@ -58,28 +59,28 @@ def host_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Da
     return rows.select("doc_id", "host", "content", "place", F.xxhash64(normal_line(F.col("line"))).alias("line"), F.size(words(F.col("line"))).alias("line_words"))
 
 
-def frequent_lines(lines: DataFrame, least: int, share: float) -> DataFrame:
-    """(host, line) held by more than max(least, share * texts of the host) distinct texts."""
-    held = lines.select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count("*").alias("n_texts"))
-    hosts = lines.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("host_texts"))
-    held = held.where(F.col("n_texts") > least)
-    return held.join(hosts, "host").where(F.col("n_texts") > share * F.col("host_texts")).select("host", "line")
+def frequent_lines(lines: DataFrame, most: int, share: float, least: int) -> DataFrame:
+    """(host, line) held by more documents of the host than its limit: `most`, or for small hosts their share, `least` at least."""
+    held = lines.select("host", "line", "doc_id").distinct().groupBy("host", "line").agg(F.count("*").alias("held")).where(F.col("held") > least)
+    hosts = lines.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("documents"))
+    limit = F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), share * F.col("documents")))
+    return held.join(hosts, "host").where(F.col("held") > limit).select("host", "line")
 
 
-def line_verdicts(docs: DataFrame, least: int = 20, share: float = 0.02, id_col: str = "doc_id", text_col: str = "text",
+def line_verdicts(docs: DataFrame, most: int = 20, share: float = 0.2, least: int = 10, id_col: str = "doc_id", text_col: str = "text",
                   host_col: str = "source") -> DataFrame:
     """Rows that lose words: doc_id, host, content, removed (words of one row), lines (hashes of what goes)."""
     lines = host_lines(docs, id_col, text_col, host_col)
-    often = written(frequent_lines(lines, least, share), "frequent-lines")
+    often = written(frequent_lines(lines, most, share, least), "frequent-lines")
     once = F.size(F.collect_set("place")) / F.count("*")  # a repeated row brings every place again
     return (lines.join(often, ["host", "line"]).groupBy("doc_id", "host", "content")
             .agg(F.round(F.sum("line_words") * once).cast("bigint").alias("removed"), F.collect_set("line").alias("lines")))
 
 
-def quality(docs: DataFrame, least: int = 20, share: float = 0.02, remain: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
+def quality(docs: DataFrame, most: int = 20, share: float = 0.2, least: int = 10, remain: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
             host_col: str = "source") -> DataFrame:
     """Base counts and the verdict of every row; a text is depleted if less than `remain` of its words stay."""
-    lost = line_verdicts(docs, least, share, id_col, text_col, host_col).select(F.col("doc_id").alias("id"), F.col("host").alias("h"), F.col("content").alias("c"), "removed")
+    lost = line_verdicts(docs, most, share, least, id_col, text_col, host_col).select(F.col("doc_id").alias("id"), F.col("host").alias("h"), F.col("content").alias("c"), "removed")
     rows = base_counts(docs, id_col, text_col, host_col)
     rows = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("host") == F.col("h")) & (F.col("content") == F.col("c")), "left")
     removed = F.coalesce("removed", F.lit(0))
@@ -88,11 +89,11 @@ def quality(docs: DataFrame, least: int = 20, share: float = 0.02, remain: float
                        (~F.col("base_failed") & ~depleted).alias("kept"), removed.cast("bigint").alias("n_removed_words"))
 
 
-def cleaned(docs: DataFrame, least: int = 20, share: float = 0.02, remain: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
+def cleaned(docs: DataFrame, most: int = 20, share: float = 0.2, least: int = 10, remain: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
             host_col: str = "source") -> DataFrame:
     """The kept rows with all columns, their texts without the frequent lines."""
-    lost = line_verdicts(docs, least, share, id_col, text_col, host_col).select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("content").alias("__content"), "lines")
-    verdict = quality(docs, least, share, remain, id_col, text_col, host_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    lost = line_verdicts(docs, most, share, least, id_col, text_col, host_col).select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("content").alias("__content"), "lines")
+    verdict = quality(docs, most, share, least, remain, id_col, text_col, host_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     rows = docs.withColumn("__body", whole_text(text_col))
     rows = rows.join(lost.withColumnRenamed("lines", "__lines"), F.col(id_col).eqNullSafe(F.col("__id")) & (whole_text(host_col) == F.col("__host")) & (F.xxhash64("__body") == F.col("__content")), "left")
     stay = F.array_join(F.filter(F.split("__body", "\n", -1), lambda x: ~F.array_contains("__lines", F.xxhash64(normal_line(x)))), "\n")
@@ -108,8 +109,8 @@ p AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest([i, i+1,
 l AS (SELECT doc_id, host, body, line, trim(regexp_replace(lower(line), '[\x09-\x0D\x200-9]+', ' ', 'g')) AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS lw
   FROM (SELECT doc_id, host, body, unnest(string_split(body, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id),
-h AS (SELECT host, count(DISTINCT body) AS n FROM l GROUP BY host),
-f AS (SELECT host, norm FROM l JOIN h USING (host) GROUP BY host, norm, h.n HAVING count(DISTINCT body) > 20 AND count(DISTINCT body) > 0.02 * h.n),
+h AS (SELECT host, count(DISTINCT doc_id) AS n FROM l GROUP BY host),
+f AS (SELECT host, norm FROM l JOIN h USING (host) GROUP BY host, norm, h.n HAVING count(DISTINCT doc_id) > least(20, greatest(10, 0.2 * h.n))),
 x AS (SELECT doc_id, sum(lw) AS n FROM l JOIN f USING (host, norm) GROUP BY doc_id),
 b AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(body, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(u.n, 0)::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words,
