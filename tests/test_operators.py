@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trialgrid.functions import exprs as X
 from trialgrid.functions import quantdist as Q
 from trialgrid.operators import dynamics as D
+from trialgrid.operators import fields as FD
 from trialgrid.operators import landscape as L
 from trialgrid.operators import models as M
 from trialgrid.operators import predictive as P
@@ -261,7 +262,7 @@ def test_key_axis_scores_match_direct_sums(spark):
     pts = spark.createDataFrame([(r, s, rng.choice([4, 5, 6]), rng.random()) for r in range(1, 37) for s in rng.sample(range(1000000), 25)],
                                 "round bigint, seed bigint, hits bigint, positional_mae double")
     fields = L.build_fields(pts)
-    top = L.field_top_seeds(fields, 5).filter("model = 'persistence' AND round = 36").orderBy("rank").collect()
+    top = FD.field_top_seeds(fields, 5).filter("model = 'persistence' AND round = 36").orderBy("rank").collect()
     cells = {(r["channel"], r["bin"]): r["mass"] for r in fields.filter("round = 35").collect()}
     keys = spark.createDataFrame([(t["seed"],) for t in top], "seed bigint").select("seed", L.channel_bins(F.col("seed")).alias("c")).collect()
     for t, k in zip(top, sorted(keys, key=lambda r: [x["seed"] for x in top].index(r["seed"]))):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trialgrid.functions import exprs as X
 from trialgrid.functions.exprs import r6
+from trialgrid.operators import fields as FD
 from trialgrid.operators import landscape as L
 from trialgrid.operators import resample as RS
 from trialgrid.operators.ordered import framed, median, position
@@ -158,11 +159,39 @@ def basin_forecast(spark, sf):
     return RS.basin_forecast(L.basin_summary(landscape(spark, sf)))
 
 
+_XORS = "channel NOT LIKE 'mod%'"
+_SIZE = "CASE WHEN channel LIKE 'mod%' THEN substr(channel, 5)::INT ELSE split_part(channel, '-', 2)::INT END"
+_FORECASTS = FIELDS + f""",
+rk AS (SELECT round, row_number() OVER (ORDER BY round) - 1 AS idx FROM (SELECT DISTINCT round FROM fields)),
+ce AS MATERIALIZED (SELECT idx, channel, {_SIZE} AS size, bin::BIGINT AS bin, mass FROM fields JOIN rk USING (round)),
+pv AS (SELECT c.idx, c.channel, c.size, c.bin AS b, p.bin AS a, c.mass * p.mass AS v FROM ce c JOIN ce p ON p.idx = c.idx - 1 AND p.channel = c.channel WHERE c.idx >= 31),
+sv AS (SELECT idx, channel, arg_min(mv, (-v, mv)) AS mv FROM (SELECT idx, channel, (b - a + size) % size AS mv, round(sum(v), 12) AS v FROM pv GROUP BY 1, 2, 3) GROUP BY 1, 2),
+xv AS (SELECT idx, channel, arg_min(mv, (-v, mv)) AS mv FROM (SELECT idx, channel, xor(a, b) AS mv, round(sum(v), 12) AS v FROM pv WHERE {_XORS} GROUP BY 1, 2, 3) GROUP BY 1, 2),
+nn AS (SELECT idx, sqrt(sum(size * mass * mass)) AS n FROM ce GROUP BY 1),
+cd AS (SELECT a.idx, b.idx AS near, sum(a.mass * b.mass * a.size) AS dot FROM ce a JOIN ce b ON b.channel = a.channel AND b.bin = a.bin AND b.idx < a.idx WHERE a.idx >= 31 GROUP BY 1, 2),
+an AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, near) AS rn FROM (SELECT cd.idx, near, round(1 - dot/(x.n*y.n), 12) AS d FROM cd JOIN nn x ON x.idx = cd.idx JOIN nn y ON y.idx = near)),
+aw AS (SELECT idx, near + 1 AS next, 1/(d + 0.01::DOUBLE) AS w FROM an WHERE rn <= 5),
+fo AS (SELECT idx, 'persistence' AS model, channel, bin, mass FROM ce WHERE idx >= 31
+ UNION ALL SELECT t.idx, 'ewma', k.channel, k.bin, sum(k.mass * power(0.9::DOUBLE, t.idx - k.idx)) / ((1 - power(0.9::DOUBLE, 16)) / 0.1::DOUBLE) FROM rk t JOIN ce k ON k.idx BETWEEN t.idx - 15 AND t.idx WHERE t.idx >= 31 GROUP BY 1, 3, 4
+ UNION ALL SELECT aw.idx, 'analog', c.channel, c.bin, sum(w * c.mass) / any_value(tw) FROM aw JOIN (SELECT idx, sum(w) AS tw FROM aw GROUP BY 1) s ON s.idx = aw.idx JOIN ce c ON c.idx = aw.next GROUP BY 1, 3, 4
+ UNION ALL SELECT c.idx, 'shift', c.channel, (c.bin + sv.mv) % c.size, c.mass FROM ce c JOIN sv ON sv.idx = c.idx AND sv.channel = c.channel
+ UNION ALL SELECT c.idx, 'xor', c.channel, xor(c.bin, coalesce(xv.mv, 0)), c.mass FROM ce c LEFT JOIN xv ON xv.idx = c.idx AND xv.channel = c.channel WHERE c.idx >= 31),
+fa AS (SELECT * FROM fo UNION ALL SELECT idx, 'ensemble', channel, bin, sum(mass) / 4 FROM fo WHERE model <> 'persistence' GROUP BY idx, channel, bin)"""
+
+
+@query("field_forecasts", with_(_FORECASTS) + f"""SELECT coalesce(n.round, k.round + 1) AS round, model, channel, count(*)::BIGINT AS cells, {R('max(mass)')} AS top_mass, {R('sum(mass * bin)')} AS mean_bin
+ FROM fa JOIN rk k ON k.idx = fa.idx LEFT JOIN rk n ON n.idx = fa.idx + 1 GROUP BY 1, 2, 3""")
+def field_forecasts(spark, sf):
+    """Fields forecast for every round by six models, channel by channel."""
+    f = FD.forecast_channels(FD.forecasts(L.build_fields(landscape(spark, sf))))
+    return f.select("round", "model", "channel", "cells", r6(F.col("top_mass")).alias("top_mass"), r6(F.col("mean_bin")).alias("mean_bin"))
+
+
 @query("field_top_seeds")
 def field_top_seeds(spark, sf):
     """Top 100 keys per (round, model) over the whole key axis, with the hits they turn out to have."""
     p = landscape(spark, sf)
-    top = L.field_top_seeds(L.build_fields(p), 100)
+    top = FD.field_top_seeds(L.build_fields(p), 100)
     return top.join(p.select("round", "seed", "hits"), ["round", "seed"], "left")
 
 
