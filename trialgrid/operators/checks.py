@@ -92,3 +92,19 @@ def gap_clusters(numbers: Column, gap: int) -> Column:
     """1 + gaps above ``gap`` between neighbours of a sorted array."""
     ordered = F.sort_array(numbers)
     return F.aggregate(F.zip_with(F.slice(ordered, 1, F.size(ordered) - 1), F.slice(ordered, 2, F.size(ordered)), lambda a, b: b - a), F.lit(1), lambda n, g: n + (g > gap).cast("int"))
+
+
+def prediction_integrity(records: DataFrame, target: Sequence[str], history_end: str, at: str, ranking: str, size: int, low: int, high: int, accessed: Column, blind: Column) -> DataFrame:
+    """One row of counts over all predictions, in one pass over targets: repeated targets, rankings that are short, repeat or leave the range, history
+    that reaches its target, missing values, and labels that were read although they were blind."""
+    top = F.slice(ranking, 1, size)
+    bad = (F.size(F.array_distinct(top)) != size) | F.exists(top, lambda v: v.isNull() | (v < low) | (v > high))
+    flags = {"bad_rankings": F.coalesce(bad, F.lit(True)), "late_history": F.coalesce(F.col(history_end) >= F.col(at), F.lit(True)),
+             "missing": F.col(at).isNull() | F.col(history_end).isNull() | F.col(ranking).isNull(), "blind_reads": accessed & blind}
+    per = records.groupBy(*target).agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(n) for n, c in flags.items()])
+    out = per.agg(F.sum("_n").alias("targets"), F.sum(F.col("_n") - 1).alias("repeated_targets"), *[F.sum(n).alias(n) for n in flags])
+    counts = [F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in ("targets", "repeated_targets", *flags)]
+    clean = F.lit(True)
+    for n in ("repeated_targets", *flags):
+        clean = clean & (F.coalesce(F.col(n), F.lit(0)) == 0)
+    return out.select(*counts, F.when(clean, "PASS").otherwise("FAIL").alias("status"))

@@ -195,14 +195,21 @@ def field_top_seeds(spark, sf):
     return top.join(p.select("round", "seed", "hits"), ["round", "seed"], "left")
 
 
+MODEL_BUDGETS = (10, 100)
+
+
+def field_evaluation(selected, p):
+    """Per (round, model, budget): selected keys of 4, 5 and 6 hits and more, and what chance gives."""
+    top = selected.withColumn("budget", F.explode(F.array(*map(F.lit, MODEL_BUDGETS)))).filter("rank <= budget")
+    per = top.groupBy("model", "budget", "round").agg(*[F.count_if(F.col("hits") >= h).alias(f"h{h}") for h in (4, 5, 6)])
+    good = p.groupBy("round").agg((F.count(F.lit(1)) / KEY_SPACE).alias("density"))
+    return per.join(good, "round", "left").na.fill(0)
+
+
 @query("field_model_summary")
 def field_model_summary(spark, sf):
     """Selected hit counts, rounds with any, expectation and lift per (model, budget)."""
-    p = landscape(spark, sf)
-    top = field_top_seeds(spark, sf).withColumn("budget", F.explode(F.array(F.lit(10), F.lit(100)))).filter("rank <= budget")
-    per = top.groupBy("model", "budget", "round").agg(*[F.count_if(F.col("hits") >= h).alias(f"h{h}") for h in (4, 5, 6)])
-    good = p.groupBy("round").agg((F.count(F.lit(1)) / KEY_SPACE).alias("density"))
-    per = per.join(good, "round", "left").na.fill(0)
+    per = field_evaluation(field_top_seeds(spark, sf), landscape(spark, sf))
     return per.groupBy("model", "budget").agg(
         F.count(F.lit(1)).alias("rounds"), *[F.sum(f"h{h}").alias(f"selected_{h}_plus") for h in (4, 5, 6)],
         F.count_if(F.col("h4") > 0).alias("rounds_with_4_plus"),
