@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = ["hit_distribution_by_round", "draw_validity", "rank_features", "shape_transition", "basin_summary", "channel_fields", "paired_runs",
          "run_audit", "fold_statistics", "trajectory_features", "quality_metrics_by_scope", "ranking_metrics", "survival_metrics", "beta_pooling",
          "selections", "sensitivity", "mutual_information", "recurrence", "two_group_comparison", "followup_confidence", "append_log_runs", "prediction_gate",
-         "oof_completeness", "model_frame", "reference_comparison", "benchmark_check", "strategy_evaluation", "hypergeometric_null"]
+         "field_forecasts", "rank_forecast", "overlap_matrix", "sign_flip_test", "oof_completeness", "model_frame", "reference_comparison", "benchmark_check", "strategy_evaluation", "hypergeometric_null"]
 
 
 @pytest.fixture(scope="module")

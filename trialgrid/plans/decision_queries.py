@@ -9,7 +9,7 @@ from trialgrid.functions import exprs as X
 from trialgrid.functions import quantdist as Q
 from trialgrid.functions.exprs import r6
 from trialgrid.operators import predictive as P
-from trialgrid.operators import resample as RS
+from trialgrid.operators import replicates as RP
 from trialgrid.operators.folds import out_of_fold_quantiles, out_of_fold_sums
 from trialgrid.operators.ordered import top_rows
 from trialgrid.plans.registry import query
@@ -179,20 +179,18 @@ def profile_stability(spark, sf):
 
 
 _CB = CAND + f""",
-cl AS MATERIALIZED (SELECT profile, problem_id, avg(correct::INT) AS a, avg(oracle_regret) AS g, avg(gain_vs_random) AS h, row_number() OVER (PARTITION BY profile ORDER BY problem_id)-1 AS pos, count(*) OVER (PARTITION BY profile) AS n FROM sel GROUP BY 1,2),
-bs AS MATERIALIZED (SELECT s.profile, i, avg(b.a) AS a, avg(b.g) AS g, avg(b.h) AS h FROM (SELECT profile, i, floor({U('i', 'pos', 'profile', "'boot'")}*n)::BIGINT AS pick FROM cl, (SELECT unnest(range(50)) AS i)) s JOIN cl b ON b.profile=s.profile AND b.pos=s.pick GROUP BY 1,2)"""
+cl AS MATERIALIZED (SELECT profile, problem_id AS unit, correct::INT::DOUBLE AS accuracy, oracle_regret AS regret, gain_vs_random AS gain FROM sel),
+""" + RP.replicate_sql("bs", "cl", ["profile"], ["accuracy", "regret", "gain"], 10_000, "poisson", "boot")
 
 
-@query("cluster_bootstrap", with_(_CB) + f"""SELECT profile, {R('quantile_cont(a,0.025)')} AS accuracy_lo, {R('quantile_cont(a,0.975)')} AS accuracy_hi, {R('quantile_cont(g,0.025)')} AS regret_lo, {R('quantile_cont(g,0.975)')} AS regret_hi, {R('avg((h>0)::INT)')} AS p_gain FROM bs GROUP BY 1""")
+@query("cluster_bootstrap", with_(_CB) + f"""SELECT profile, {R('quantile_cont(accuracy/nullif(w,0),0.025)')} AS accuracy_lo, {R('quantile_cont(accuracy/nullif(w,0),0.975)')} AS accuracy_hi, {R('quantile_cont(regret/nullif(w,0),0.025)')} AS regret_lo,
+ {R('quantile_cont(regret/nullif(w,0),0.975)')} AS regret_hi, {R('quantile_cont(gain/nullif(w,0),0.025)')} AS gain_lo, {R('quantile_cont(gain/nullif(w,0),0.975)')} AS gain_hi, {R('avg((gain>0)::INT)')} AS p_gain FROM bs GROUP BY 1""")
 def cluster_bootstrap(spark, sf):
-    """Problem-cluster bootstrap of accuracy, regret and gain per profile."""
-    from trialgrid.operators.ordered import quantiles
-    s = selection_table(spark, sf).select("profile", "problem_id", F.col("correct").cast("double").alias("a"), F.col("oracle_regret").alias("g"), F.col("gain_vs_random").alias("h"))
-    m = RS.bootstrap_means(s, ["profile"], ["a", "g", "h"], ["problem_id"], 50)
-    q = quantiles(m, ["profile"], "a", [0.025, 0.975], "qa").join(quantiles(m, ["profile"], "g", [0.025, 0.975], "qg"), "profile")
-    p = m.groupBy("profile").agg(r6(F.avg((F.col("h") > 0).cast("int"))).alias("p_gain"))
-    return q.join(p, "profile").select("profile", r6(F.get("qa", 0)).alias("accuracy_lo"), r6(F.get("qa", 1)).alias("accuracy_hi"),
-                                       r6(F.get("qg", 0)).alias("regret_lo"), r6(F.get("qg", 1)).alias("regret_hi"), "p_gain")
+    """Problem-cluster bootstrap (10,000 replicates) of accuracy, regret and gain per profile."""
+    s = selection_table(spark, sf).select("profile", "problem_id", F.col("correct").cast("double").alias("accuracy"), F.col("oracle_regret").alias("regret"), F.col("gain_vs_random").alias("gain"))
+    m = RP.replicate_sums(s, ["profile"], ["accuracy", "regret", "gain"], "problem_id", 10_000, "poisson", "boot")
+    q = m.groupBy("profile").agg(*[RP.interval(F.try_divide(F.col(v), F.col(f"{v}_weight")), 0.95).alias(v) for v in ("accuracy", "regret", "gain")], r6(F.avg((F.col("gain") > 0).cast("int"))).alias("p_gain"))
+    return q.select("profile", *[r6(F.get(v, k)).alias(f"{v}_{end}") for v in ("accuracy", "regret", "gain") for k, end in enumerate(("lo", "hi"))], "p_gain")
 
 
 _THRESH = [("selection_value", "mean_gain", ">", 0.0), ("selection_accuracy", "accuracy", ">=", 0.5), ("selection_regret", "mean_regret", "<=", 0.05)]

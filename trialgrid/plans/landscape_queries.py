@@ -9,6 +9,7 @@ from trialgrid.functions import exprs as X
 from trialgrid.functions.exprs import r6
 from trialgrid.operators import fields as FD
 from trialgrid.operators import landscape as L
+from trialgrid.operators import replicates as RP
 from trialgrid.operators import resample as RS
 from trialgrid.operators.ordered import framed, median, position
 from trialgrid.plans.registry import query
@@ -118,17 +119,17 @@ def seed_neighbours(spark, sf):
 @query("neighbourhood_test", with_(LANDSCAPE, "rad AS (SELECT unnest([100,1000,10000,100000]) AS radius)", f"""
 nb AS MATERIALIZED (SELECT e.round, e.seed, radius, (SELECT count(*) FROM land p WHERE p.round=e.round AND abs(p.seed-e.seed)<=radius)-1 AS o,
  (SELECT count(*) FROM land p WHERE p.round=e.round AND abs(p.seed - floor({U('e.round', 'e.seed', "'center'")}*1000000)::BIGINT)<=radius) AS b FROM land e, rad WHERE e.hits=6)""",
- f"""sim AS (SELECT radius, i, sum((o-b)*CASE WHEN {U('i', "concat(round,'/',seed)", "'flip'")} < 0.5 THEN -1 ELSE 1 END) AS s FROM nb, (SELECT unnest(range(200)) AS i) GROUP BY 1,2)""") + f"""
+ "nu AS (SELECT radius, concat(round,'/',seed) AS unit, (o-b)::DOUBLE AS d FROM nb)", RP.replicate_sql("sim", "nu", ["radius"], ["d"], 10_000, "sign", "flip")) + f"""
 SELECT radius, count(*)::BIGINT AS samples, {R('avg(o)')} AS neighbour_mean, {R('avg(b)')} AS random_mean, {R('avg(o-b)')} AS effect,
- {R('(1.0::DOUBLE+(SELECT count_if(s >= tot) FROM sim WHERE sim.radius=x.radius))/201')} AS p FROM (SELECT *, sum(o-b) OVER (PARTITION BY radius) AS tot FROM nb) x GROUP BY radius, tot""")
+ {R('(1.0::DOUBLE+(SELECT count_if(d >= tot) FROM sim WHERE sim.radius=x.radius))/10001')} AS p FROM (SELECT *, sum(o-b) OVER (PARTITION BY radius) AS tot FROM nb) x GROUP BY radius, tot""")
 def neighbourhood_test(spark, sf):
-    """Paired sign-flip test of neighbour counts against random centers per radius."""
+    """Paired sign-flip test (10,000 flips) of neighbour counts against random centers per radius."""
     nb = RS.neighbour_counts(landscape(spark, sf), L.RADII)
     nb = nb.withColumn("unit", F.concat_ws("/", "round", "seed")).withColumn("diff", F.col("observed") - F.col("baseline"))
-    p = RS.sign_flip(nb, ["radius"], "diff", "unit", 200)
+    p = RP.sign_flip_tests(nb, ["radius"], {"diff": True}, "unit")
     return nb.groupBy("radius").agg(F.count(F.lit(1)).alias("samples"), r6(F.avg("observed")).alias("neighbour_mean"),
                                     r6(F.avg("baseline")).alias("random_mean"), r6(F.avg("diff")).alias("effect")
-                                    ).join(p.select("radius", r6(F.col("p")).alias("p")), "radius")
+                                    ).join(p.select("radius", r6(F.col("diff_p")).alias("p")), "radius")
 
 
 @query("nearest_to_center", with_(BASIN) + f"""SELECT round, {R('weighted_center')} AS center, {R('nearest_4_distance')} AS distance FROM basin""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trialgrid.functions import exprs as X
 from trialgrid.functions.exprs import r6
 from trialgrid.operators import folds as FO
+from trialgrid.operators import replicates as RP
 from trialgrid.operators import resample as RS
 from trialgrid.operators import runs as RU
 from trialgrid.operators.ordered import islands, median, quantiles, running, top_rows
@@ -70,9 +71,11 @@ def cluster_means(spark, sf):
         F.coalesce("problem_family", F.lit("ALL")).alias("family"), "problems", "mean_difference")
 
 
+BOOTSTRAPS = 10_000
 _BOOT = f""",
-pos AS (SELECT problem_id, qmean, row_number() OVER (ORDER BY problem_id)-1 AS pos, count(*) OVER () AS n FROM psum),
-bt AS (SELECT i, avg(b.qmean) AS m FROM (SELECT i, floor({U('i', 'pos', '0', "'boot'")}*n)::BIGINT AS pick FROM pos, (SELECT unnest(range(100)) AS i)) s JOIN pos b ON b.pos=s.pick GROUP BY i),
+pu AS (SELECT 0 AS every, problem_id AS unit, qmean FROM psum),
+{RP.replicate_sql("bt0", "pu", ["every"], ["qmean"], BOOTSTRAPS, "poisson", "mean")},
+bt AS (SELECT qmean/nullif(w,0) AS m FROM bt0),
 sr AS (SELECT abs(qmean) AS a, (qmean>0)::INT AS p, rank() OVER (ORDER BY abs(qmean)) + (count(*) OVER (PARTITION BY abs(qmean))-1)/2.0 AS rk, count(*) OVER (PARTITION BY abs(qmean)) AS t FROM psum WHERE abs(qmean) > 0),
 wx AS (SELECT sum(p*rk) AS w, count(*)::DOUBLE AS n, sum(t*t-1) AS ties FROM sr)"""
 
@@ -88,7 +91,7 @@ def paired_decision(spark, sf):
     win = p.agg(r6(F.avg((F.col("winner") == "challenger").cast("int"))).alias("win_rate"))
     fam = prob.groupBy("problem_family").agg(F.avg("qmean").alias("m")).agg((F.min("m") > 0).alias("positive_families"))
     base = prob.groupBy("all").agg(F.count(F.lit(1)).alias("problems"), r6(F.avg("qmean")).alias("mean_difference"))
-    ci = RS.bootstrap_ci(prob, ["all"], "qmean", ["problem_id"], 100)
+    ci = RP.mean_intervals(prob, ["all"], ["qmean"], "problem_id", BOOTSTRAPS).select("all", F.col("qmean_low").alias("ci_low"), F.col("qmean_high").alias("ci_high"))
     wx = RS.wilcoxon(prob, ["all"], "qmean")
     out = base.join(ci, "all").join(wx, "all").crossJoin(F.broadcast(win)).crossJoin(F.broadcast(fam))  # one row each
     out = out.select("problems", "mean_difference", r6(F.col("ci_low")).alias("ci_low"), r6(F.col("ci_high")).alias("ci_high"),

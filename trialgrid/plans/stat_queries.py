@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trialgrid.functions import exprs as X
 from trialgrid.functions.exprs import r6
 from trialgrid.operators import dynamics as D
+from trialgrid.operators import replicates as RP
 from trialgrid.operators import resample as RS
 from trialgrid.operators import runs as RU
 from trialgrid.operators.ordered import framed, median, position, quantiles, running
@@ -128,21 +129,28 @@ def false_discovery(spark, sf):
     return r.select("key", r6(F.col("p")).alias("p"), r6(F.least(F.lit(1.0), F.col("q"))).alias("q"))
 
 
-@query("bootstrap_difference", with_(PAIRED, "bp AS MATERIALIZED (SELECT problem_family, quality_difference AS d, row_number() OVER (PARTITION BY problem_family ORDER BY problem_id, seed)-1 AS pos, count(*) OVER (PARTITION BY problem_family) AS n FROM paired)",
-       f"bm AS (SELECT s.problem_family, i, avg(b.d) AS m FROM (SELECT problem_family, i, floor({U('i', 'pos', 'problem_family', chr(39) + 'boot' + chr(39))}*n)::BIGINT AS pick FROM bp, (SELECT unnest(range(40)) AS i)) s JOIN bp b ON b.problem_family=s.problem_family AND b.pos=s.pick GROUP BY 1,2)")
-       + f"SELECT problem_family, {R('quantile_cont(m,0.025)')} AS ci_low, {R('quantile_cont(m,0.975)')} AS ci_high FROM bm GROUP BY 1")
+_UNITS = "pu AS MATERIALIZED (SELECT problem_family, 'x'||problem_id||'-'||seed AS unit, round_even(quality_difference*1e9,0) AS d FROM paired)"
+
+
+def _units(spark, sf):
+    """Paired differences in steps of 1e-9, so that sums are exact."""
+    unit = F.concat(F.lit("x"), F.col("problem_id").cast("string"), F.lit("-"), F.col("seed").cast("string"))
+    return RU.paired(runs(spark, sf)).select("problem_family", unit.alias("unit"), F.rint(F.col("quality_difference") * 1e9).alias("d"))
+
+
+@query("bootstrap_difference", with_(PAIRED, _UNITS, RP.replicate_sql("bm", "pu", ["problem_family"], ["d"], 2_000, "poisson", "mean"))
+       + f"SELECT problem_family, {R('quantile_cont(d/nullif(w,0),0.025)/1e9')} AS ci_low, {R('quantile_cont(d/nullif(w,0),0.975)/1e9')} AS ci_high FROM bm GROUP BY 1")
 def bootstrap_difference(spark, sf):
-    """Bootstrap interval of the mean paired difference per family."""
-    p = RU.paired(runs(spark, sf))
-    c = RS.bootstrap_ci(p, ["problem_family"], "quality_difference", ["problem_id", "seed"], 40)
-    return c.select("problem_family", r6(F.col("ci_low")).alias("ci_low"), r6(F.col("ci_high")).alias("ci_high"))
+    """Bootstrap interval of the mean paired difference per family (2,000 replicates of all pairs)."""
+    c = RP.mean_intervals(_units(spark, sf), ["problem_family"], ["d"], "unit", 2_000)
+    return c.select("problem_family", r6(F.col("d_low") / 1e9).alias("ci_low"), r6(F.col("d_high") / 1e9).alias("ci_high"))
 
 
-@query("sign_flip_test", with_(PAIRED, f"sf AS (SELECT problem_family, i, sum(quality_difference*CASE WHEN {U('i', chr(39) + 'x' + chr(39) + '||problem_id||' + chr(39) + '-' + chr(39) + '||seed', chr(39) + 'flip' + chr(39))} < 0.5 THEN -1 ELSE 1 END) AS s FROM paired, (SELECT unnest(range(40)) AS i) GROUP BY 1,2)")
-       + f"SELECT problem_family, {R('(count_if(s >= o-1e-9)+1)/41')} AS p FROM sf JOIN (SELECT problem_family, sum(quality_difference) AS o FROM paired GROUP BY 1) USING (problem_family) GROUP BY 1")
+@query("sign_flip_test", with_(PAIRED, _UNITS, RP.replicate_sql("sg", "pu", ["problem_family"], ["d"], 10_000, "sign", "flip"))
+       + f"SELECT problem_family, {R('(count_if(d >= o)+1.0::DOUBLE)/10001')} AS p FROM sg JOIN (SELECT problem_family, sum(d) AS o FROM pu GROUP BY 1) USING (problem_family) GROUP BY 1")
 def sign_flip_test(spark, sf):
-    p = RU.paired(runs(spark, sf)).withColumn("unit", F.concat(F.lit("x"), F.col("problem_id").cast("string"), F.lit("-"), F.col("seed").cast("string")))
-    return RS.sign_flip(p, ["problem_family"], "quality_difference", "unit", 40).select("problem_family", r6(F.col("p")).alias("p"))
+    """Is the mean paired difference of a family above zero? 10,000 sign flips."""
+    return RP.sign_flip_tests(_units(spark, sf), ["problem_family"], {"d": True}, "unit").select("problem_family", r6(F.col("d_p")).alias("p"))
 
 
 _HG = [math.comb(6, h) * math.comb(39, 6 - h) / math.comb(45, 6) for h in range(7)]

@@ -27,11 +27,13 @@ def local_session(cpus: int = 8) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a scratch folder only where none is set (tests)."""
+    """The shared folder named by the cluster. Only a session whose executors are the driver itself may do without one (tests)."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if current and (not path or path in current):
         return current
+    if not path and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
