@@ -17,39 +17,6 @@ def iterations(n: int) -> Column:
     return F.explode(F.lit(list(range(n)))).alias("i")
 
 
-def sign_flip(df: DataFrame, keys: Sequence[str], diff: str, unit: str, n: int, greater: bool = True) -> DataFrame:
-    """One-sided paired sign-flip p per key: (exceed + 1) / (n + 1). Sums are combined map-side per iteration."""
-    sign = F.when(X.hash_uniform("i", unit, F.lit("flip")) < 0.5, -1).otherwise(1)
-    sims = df.select(*keys, diff, unit, iterations(n)).groupBy(*keys, "i").agg(F.sum(F.col(diff) * sign).alias("s"))
-    obs = df.groupBy(*keys).agg(F.sum(diff).alias("obs"))
-    joined = sims.join(F.broadcast(obs), list(keys)) if keys else sims.crossJoin(F.broadcast(obs))
-    # sums of doubles arrive in any order: compare with a tolerance far below the data's resolution
-    test = F.col("s") >= F.col("obs") - 1e-9 if greater else F.col("s") <= F.col("obs") + 1e-9
-    return joined.groupBy(*keys).agg(((F.count_if(test) + 1) / F.lit(n + 1)).alias("p"), F.first("obs").alias("observed_sum"))
-
-
-def bootstrap_means(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: Sequence[str], n: int,
-                    salt: str = "boot") -> DataFrame:
-    """Mean of each value over n with-replacement resamples of the rows (or clusters) of each key.
-
-    Slot j of resample i takes the row at position floor(u(i, j, key) x size); slots falling on the same
-    row are counted before they meet the row, so the join carries one line per (resample, row).
-    """
-    rows = position(df.select(*keys, *values, *[c for c in order if c not in values and c not in keys]), keys, order, "_pos", total="_n")
-    slots = rows.select(*keys, F.col("_pos").alias("_slot"), "_n", iterations(n))
-    pick = F.floor(X.hash_uniform("i", "_slot", *keys, F.lit(salt)) * F.col("_n"))
-    times = slots.select(*keys, "i", pick.alias("_pos")).groupBy(*keys, "i", "_pos").agg(F.count(F.lit(1)).alias("_t"))
-    drawn = times.join(rows, [*keys, "_pos"])
-    return drawn.groupBy(*keys, "i").agg(*[(F.sum(F.col(v) * F.col("_t")) / F.sum("_t")).alias(v) for v in values])
-
-
-def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], n: int, level: float = 0.95) -> DataFrame:
-    means = bootstrap_means(df, keys, [value], order, n)
-    tail = (1 - level) / 2
-    q = quantiles(means, keys, value, [tail, 1 - tail], "_q")
-    return q.select(*keys, F.get("_q", 0).alias("ci_low"), F.get("_q", 1).alias("ci_high"))
-
-
 def label_permutation(df: DataFrame, keys: Sequence[str], value: str, is_left: Column, unit: str, n: int) -> DataFrame:
     """Two-sided p of the mean difference under relabelling with the group sizes kept.
 
