@@ -539,7 +539,7 @@ def test_filters_keep_clashing_columns(spark):
 
 
 def test_every_operator_has_its_query():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_page_text_of_odd_markup():
