@@ -266,6 +266,30 @@ def test_near_large_group_is_settled_in_blocks(spark, monkeypatch, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == near_brute(chain, 85)
 
 
+@pytest.mark.parametrize("block", [near_dedup.BLOCK_BYTES, 4000])
+def test_members_meet_their_sets_once(spark, monkeypatch, block):
+    """48 members under 40 keys: one row a member before sets are joined, also if the cluster is above a block; all become one component."""
+    scheme, tables = near_dedup.scheme_for(85), {}
+
+    def kept(df, name):
+        tables[name] = near_dedup_written(df, name)
+        return tables[name]
+
+    near_dedup_written = near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", kept)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block)
+    base = np.arange(1000, 1100, dtype=np.uint64)
+    sets = spark.createDataFrame([(i, bytearray(np.append(base, np.uint64(2000 + i)).tobytes())) for i in range(50)], "id long, members binary")
+    sigs = spark.createDataFrame([(i, bytearray(2 * scheme.values)) for i in range(50)], "id long, sig binary")
+    # the last key holds a few of the members only
+    rows = spark.createDataFrame([(k, i, 0, 49) for k in range(40) for i in range(50) if k < 39 or i % 7 == 0], "key long, id long, lo long, hi long")
+    comps = spark.createDataFrame([], "id long, comp long")
+    links = near_dedup.unresolved(rows, comps, sigs, sets, 85, scheme)
+    assert tables["sized"].count() == 48
+    assert tables["open-members"].count() <= 48 + 7  # keys of the same members are one
+    assert {r["id"]: r["comp"] for r in components(links).collect()} == {i: 1 for i in range(1, 49)}
+
+
 def test_only_joining_links_leave_a_block():
     """200 texts of one bucket, all linked: a tree of links, and none where nothing is linked or all are joined already."""
     scheme = near_dedup.scheme_for(85)

@@ -177,15 +177,20 @@ def unresolved(rows: DataFrame, comps: DataFrame, sigs: DataFrame, sets: DataFra
     """
     rest = rows.where("id <> lo AND id <> hi").join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     rest = written(rest, "rest")
-    open_keys = rest.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("id").alias("first")).where("c1 <> c2").select("key", "first")
+    sides = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2")]
+    open_keys = rest.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("id").alias("first"), *sides).where("c1 <> c2")
+    # keys with the same members ask the same question: one of them is held
+    open_keys = open_keys.groupBy("n", "x1", "x2", "first").agg(F.min("key").alias("key")).select("key", "first")
     rest = written(rest.join(written(open_keys, "open"), "key"), "open-members")
     cluster = components(rest.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    sized = rest.join(cluster.withColumnRenamed("comp", "cluster"), "id").join(sets.select("id", (F.octet_length("members") + 200).alias("bytes")).dropDuplicates(["id"]), "id")
-    sized = written(sized.select("key", "cluster", "id", "comp", "bytes"), "sized")
-    once = sized.select("cluster", "id", "comp", "bytes").distinct()
-    large = once.groupBy("cluster").agg(F.sum("bytes").alias("total"))
+    # one row a member, whatever the number of its keys; keys come back only for clusters above a block
+    once = rest.select("id", "comp").distinct().join(cluster.withColumnRenamed("comp", "cluster"), "id")
+    once = once.join(sets.select("id", (F.octet_length("members") + 200).alias("bytes")).dropDuplicates(["id"]), "id")
+    once = written(once.select("cluster", "id", "comp", "bytes"), "sized")
+    large = written(once.groupBy("cluster").agg(F.sum("bytes").alias("total")), "clusters")
+    beyond = once.join(large.where(F.col("total") > BLOCK_BYTES), "cluster").select("id", "bytes")
     once = once.join(large, "cluster").where(F.col("total") <= BLOCK_BYTES).select(F.lit(0).alias("kind"), F.col("cluster").alias("unit"), "id", "comp", "bytes", F.lit(1).alias("blocks"))
-    each = sized.join(large.where(F.col("total") > BLOCK_BYTES), "cluster").select("key", "id", "comp", "bytes").distinct()
+    each = rest.select("key", "id", "comp").join(beyond, "id")
     blocks = each.groupBy("key").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
     each = each.join(blocks, "key").select(F.lit(1).alias("kind"), F.col("key").alias("unit"), "id", "comp", "bytes", "blocks")
     rest = once.unionByName(each).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
