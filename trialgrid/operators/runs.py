@@ -115,14 +115,17 @@ def trajectory_features(traces: DataFrame, cutoffs: Sequence[float]) -> DataFram
     t = enriched_traces(traces).withColumn("cutoff", F.explode(F.lit([float(c) for c in cutoffs])))
     p = t.filter((F.col("fraction") <= F.col("cutoff") + 1e-12) | (F.col("step") == 1))
     last = lambda c: F.max_by(c, "step")
-    inner = F.col("step") > 1
+    inner = (F.col("step") > 1) & F.col("prev_objective").isNotNull() & F.col("objective").isNotNull()
+    before, now = (F.when(inner, F.col(c)) for c in ("prev_objective", "objective"))
+    # corr itself divides by zero where a run stands still, and a condition around an aggregate doesn't keep it from being evaluated
+    moving = F.try_divide(F.covar_pop(before, now), F.sqrt(F.var_pop(before) * F.var_pop(now)))
     # slope against step / last step: regr_slope(best, step) x last step
     a = p.groupBy("run_id", "cutoff").agg(
         last("fraction").alias("observed_fraction"), F.max("step").alias("observed_steps"),
         last("objective").alias("objective_last"), last("best").alias("best_so_far"),
         F.sum("improvement").alias("improvement_sum"),
         F.coalesce(F.regr_slope("best", "step") * F.max("step"), F.lit(0.0)).alias("improvement_slope"),
-        F.when((F.count("prev_objective") >= 2), F.corr(F.when(inner, F.col("prev_objective")), F.when(inner, F.col("objective")))).alias("ac"),
+        F.when((F.count("prev_objective") >= 2), moving).alias("ac"),
         F.coalesce(F.avg(F.abs(F.col("objective") - F.col("prev_objective"))), F.lit(0.0)).alias("transition_mean"),
         F.avg((F.col("improvement") <= 0).cast("double")).alias("stagnation_fraction"),
         F.max("failure_signal").alias("failure_signal_max"))
