@@ -44,3 +44,9 @@ def test_large_tables_are_not_copied_for_each_fold(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn("fold", F.col("l_partkey") % 5)
     plan = FO.out_of_fold_quantiles(df, ["l_returnflag"], "fold", 5, "l_extendedprice", [0.5])._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in plan
+
+
+def test_passes_share_one_reading(spark):
+    q = O.selected_quantiles(rows(spark), ["k"], "v", [0.5])
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") >= 3  # counts, cut points and wanted rows
