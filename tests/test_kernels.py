@@ -55,3 +55,13 @@ def test_distribution_functions_closed_forms():
 def test_components():
     cells = lambda *c: sum(1 << x for x in c)
     assert K.occupied_components(np.array([cells(0, 1, 7), cells(0, 8, 16), cells(6, 7), 0])).tolist() == [1, 3, 2, 0]
+
+
+def test_ranked_sets_equal_the_expression(spark):
+    from pyspark.sql import functions as F
+
+    from trialgrid.functions import exprs as X
+
+    df = spark.createDataFrame([(0,), (X.TOTAL_SETS - 1,), (None,), (1_234_567,), (8_000_000,)], "rank bigint")
+    rows = df.select("rank", K.ranked_set(F.col("rank")).alias("a"), X.set_at_rank(F.col("rank")).alias("b")).collect()
+    assert all(r["a"] == (r["b"] if r["rank"] is not None else None) for r in rows) and {r["rank"]: r["a"] for r in rows}[0] == [1, 2, 3, 4, 5, 6]
